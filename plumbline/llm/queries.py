@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import media, packing, sharding
+from plumbline.llm import langid, media, neardup, packing, sharding, transducer
 from plumbline.llm.common import table
 
 
@@ -23,7 +23,21 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op9_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_fingerprints, op2_sampled_splitters, op8_best_fit_packing)
+    f.__name__: f for f in (
+        op1_media_fingerprints, op2_sampled_splitters, op6_minhash_near_dedup, op8_best_fit_packing, op9_transducer_token_counts, op10_byte_cnn_language,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
