@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import langid, media, nearest, neardup, packing, sharding, transducer
+from plumbline.llm import importance, langid, media, nearest, neardup, packing, sharding, transducer
 from plumbline.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -41,7 +45,8 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_media_fingerprints, op2_sampled_splitters, op3_multiprobe_neighbours, op6_minhash_near_dedup, op8_best_fit_packing, op9_transducer_token_counts, op10_byte_cnn_language,
+        op1_media_fingerprints, op2_sampled_splitters, op3_multiprobe_neighbours, op5_importance_resampling,
+        op6_minhash_near_dedup, op8_best_fit_packing, op9_transducer_token_counts, op10_byte_cnn_language,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
