@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import importance, langid, media, nearest, neardup, packing, sharding, transducer
+from plumbline.llm import importance, langid, media, nearest, neardup, packing, segment, sharding, transducer
 from plumbline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.n_best(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,7 +50,7 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_media_fingerprints, op2_sampled_splitters, op3_multiprobe_neighbours, op5_importance_resampling,
-        op6_minhash_near_dedup, op8_best_fit_packing, op9_transducer_token_counts, op10_byte_cnn_language,
+        op6_minhash_near_dedup, op7_n_best_pieces, op8_best_fit_packing, op9_transducer_token_counts, op10_byte_cnn_language,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
