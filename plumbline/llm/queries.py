@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import importance, langid, media, nearest, neardup, packing, segment, sharding, transducer
+from plumbline.llm import idfile, importance, langid, media, nearest, neardup, packing, segment, sharding, transducer
 from plumbline.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op4_context_mixed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_media_fingerprints, op2_sampled_splitters, op3_multiprobe_neighbours, op5_importance_resampling,
+        op1_media_fingerprints, op2_sampled_splitters, op3_multiprobe_neighbours, op4_context_mixed_ids, op5_importance_resampling,
         op6_minhash_near_dedup, op7_n_best_pieces, op8_best_fit_packing, op9_transducer_token_counts, op10_byte_cnn_language,
     )
 }
