@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,3 +72,17 @@ def local_path(folder: str) -> str:
 def text_bytes(col: str | Column = "text") -> Column:
     """UTF-8 bytes of a text; of a null text none."""
     return F.coalesce(F.encode(F.col(col) if isinstance(col, str) else col, "UTF-8"), F.lit(b""))
+
+
+def width(spark: SparkSession) -> int:
+    """Partitions for stages whose rows are small but whose work isn't: as many
+    as the session shuffles to, which adaptive execution won't merge."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def aside(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text", "lang")) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all columns but ``keep`` under names that nothing else has,
+    and a function that selects the columns of ``docs`` as they were."""
+    names = {c: c if c in keep else f"_column_{i}" for i, c in enumerate(docs.columns)}
+    hidden = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    return hidden, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -151,7 +151,7 @@ def model(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[np.ndarray
     return log_ratios(count_grams(rows)), (good / n if n else 1.0), n
 
 
-def sample_top(scored: DataFrame, k: int, cells: int = 2048, few: int = 100_000) -> DataFrame:
+def sample_top(scored: DataFrame, k: int, cells: int = 2048, few: int = 5_000) -> DataFrame:
     """``scored`` with ``kept``: whether a row is among the ``k`` largest by
     ``key`` (never null; ties to the smaller doc_id).
 
@@ -205,3 +205,16 @@ def resample(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, effecti
     if not ratio.any():
         return scored.withColumn("kept", F.col("log_weight").isNotNull())
     return sample_top(scored, sample_size(scored.count(), share, n_labels)).select("doc_id", "n_grams", "log_weight", "key", "kept")
+
+
+def selected(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, effective: float = 64.0) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns only. They are
+    written once with their keys, so no join brings the texts back."""
+    spark = docs.sparkSession
+    ratio, share, n_labels = model(docs, labels, labelled)
+    hidden, restored = common.aside(docs)
+    scored = keyed(weigh(hidden, ratio, effective))
+    scored = common.written(spark, scored, f"{common.shared_dir(spark)}/scored")
+    if not ratio.any():
+        return restored(scored.where("log_weight is not null"))
+    return restored(sample_top(scored, sample_size(scored.count(), share, n_labels)).where("kept"))

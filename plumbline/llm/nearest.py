@@ -175,7 +175,7 @@ def _measured(rows: DataFrame, keep: int) -> DataFrame:
         if held and (got := near(held[0])) is not None:
             yield got
 
-    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("asks"), "id")
+    rows = rows.repartition(common.width(rows.sparkSession), "bucket", "block").sortWithinPartitions("bucket", "block", F.desc("asks"), "id")
     return rows.mapInPandas(run, "query_id long, gid long, low long, score double")
 
 
