@@ -17,7 +17,7 @@ def facts(spark: SparkSession, path: str, ceiling: str = "RESOLVED_SOURCE") -> t
     record becomes a stub; unknown types, grades and shapes fail."""
     f = spark.read.schema(FACT).json(path)
     odd = F.raise_error(F.concat(F.lit("unknown fact: "), F.coalesce(F.col("fact"), F.lit("null"))))
-    f = f.where(F.when(F.col("fact").isin("node", "edge", "call"), True).otherwise(odd.cast("boolean")))
+    f = f.withColumn("fact", F.when(F.col("fact").isin("node", "edge", "call"), F.col("fact")).otherwise(odd))
     edge = f.where("fact = 'edge'").select(F.col("from").alias("src"), F.col("to").alias("dst"), checked_type(F.col("type")).alias("type"), rank_of(F.col("grade")).alias("rank"))
     call = f.where("fact = 'call'").select(F.col("from").alias("src"), F.col("to").alias("dst"), classified(ceiling=ceiling).alias("rank"))
     call = call.select("src", "dst", F.when(F.col("rank") == 4, "CALLS").otherwise("MAY_CALL").alias("type"), "rank")
