@@ -3,10 +3,11 @@
 Documents are tokenized and only those longer than a sequence are cut. Pieces
 are spread evenly over partitions; each partition packs by best fit, longest
 first, and dual feasible functions bound from below how many sequences its
-pieces need. A partition that uses more than its bound releases its loosest
-sequences; what is released in all partitions is spread over fewer partitions
-and packed again, until no sequence is saved or one partition holds all that
-is released.
+pieces need. Partitions exchange what keeps them from the common bound: each
+releases its loosest sequences, those that hold nine tenths of its spare room;
+what is released is spread over fewer partitions and packed again, until one
+partition holds all of it. So all but the last have sequences that are nearly
+full, and only the last may miss its bound.
 
 Null texts are empty documents (the end id alone). Repeated rows are documents
 of their own. An empty table gives no rows. Other columns are ignored.
@@ -109,7 +110,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return at, offset, np.asarray(room, np.int64)
 
 
-def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool) -> DataFrame:
+def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool, share: float = 0.9) -> DataFrame:
     """One round: pieces with their place; those with ``kept`` false are released.
     ``bins`` and ``bound`` stand once for each partition, else they are 0."""
 
@@ -123,11 +124,12 @@ def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool) -
         size = pdf["length"].to_numpy()
         at, offset, room = best_fit_decreasing(size, capacity)
         bound = dual_feasible_bound(size, capacity)
-        gap = len(room) - bound
+        # the gap in tokens: what an exchange with other partitions can save, their bound not being rounded up
+        gap = max((len(room) - bound) * capacity, int(room.sum()))
         freed = np.zeros(len(room), bool)
         if gap > 0 and not last:
             loose = np.argsort(-room, kind="stable")
-            upto = int(np.searchsorted(np.cumsum(room[loose]), 2 * gap * capacity)) + 1
+            upto = int(np.searchsorted(np.cumsum(room[loose]), share * gap)) + 1
             freed[loose[:upto]] = room[loose[:upto]] > 0
         part = TaskContext.get().partitionId()
         pdf["sequence_id"] = (np.int64(step) << 56) + (np.int64(part) << 32) + at
@@ -151,9 +153,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
     for step in range(rounds):
         n = left.count()
         parts = max(1, math.ceil(n / part_pieces))
-        if step and step > rounds - 3:  # towards the end the rest comes together
+        if step > rounds - 3:  # towards the end the rest comes together
             parts = max(1, math.ceil(n / (4 * part_pieces)))
-        last = step == rounds - 1 or (parts == 1 and step > 0)
+        last = step == rounds - 1 or parts == 1
         packed = common.written(spark, _pack(left, parts, capacity, step, last), f"{folder}/round{step}")
         kept = packed.where("kept").drop("kept", "bins", "bound")
         done = kept if done is None else done.unionByName(kept)
