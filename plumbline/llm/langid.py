@@ -71,8 +71,10 @@ def windows_of(data: bytes) -> np.ndarray:
     return out.reshape(rows, WINDOW)
 
 
-def train(windows: np.ndarray, label: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> ByteNet:
-    """Fit by Adam on cross entropy; the same input gives the same network."""
+def train(windows: np.ndarray, label: np.ndarray, langs: list[str], epochs: int = 4, batch: int = 64, rate: float = 4e-3, seed: int = 3, steps: int = 900) -> ByteNet:
+    """Fit by Adam on cross entropy, with at least ``steps`` steps; the same input
+    gives the same network."""
+    epochs = max(epochs, -(-steps * batch // max(1, len(windows))))
     rng = np.random.default_rng(seed)
     span, wide = max(WIDTHS), len(WIDTHS) * FILTERS
     mask = np.zeros((span * DIM, wide), np.float32)
