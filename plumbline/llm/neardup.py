@@ -205,34 +205,40 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     rights = keyed.select("left", "block", "right")
     lefts = keyed.select("left", "block").distinct().withColumn("right", F.col("left"))
     rows = lefts.unionByName(rights).join(texts.select(F.col("doc_id").alias("right"), "raw"), "right")
-    rows = rows.repartition("left", "block").sortWithinPartitions("left", "block", F.col("right") != F.col("left"), "right")
+    rows = rows.repartition(common.width(rows.sparkSession), "left", "block").sortWithinPartitions("left", "block", F.col("right") != F.col("left"), "right")
     return rows.select("left", "right", "raw").mapInPandas(run, "left long, right long")
 
 
-def _across(buckets: DataFrame, bounds: list[tuple[int, int]], most: int) -> DataFrame:
+def _across(buckets: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     """Of the rows (bucket, part, doc_id, component, sig) sorted by bucket and
-    part: pairs of different components that survive, for any two components
-    of a bucket the ``most`` of the greatest similarity first."""
+    part: pairs of different components that survive, with their components and
+    the number of equal signature values."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All whole groups at once: each row against the k-th row after it."""
         sig = np.frombuffer(b"".join(map(bytes, pdf["sig"])), "<u2").reshape(len(pdf), N_HASH)
-        node, comp = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
-        found = []
-        for i in range(len(pdf) - 1):
-            live = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
-            same = np.zeros(len(live), np.int64)
+        node, comp, bucket, part = (pdf[c].to_numpy() for c in ("doc_id", "component", "bucket", "part"))
+        first = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])])
+        stop = np.append(np.flatnonzero(first)[1:], len(pdf))[np.cumsum(first) - 1]
+        row, k, found = np.arange(len(pdf)), 0, []
+        while True:
+            k += 1
+            row = row[row + k < stop[row]]
+            if not len(row):
+                break
+            x = row[comp[row] != comp[row + k]]
+            same = np.zeros(len(x), np.int64)
             for n, least in bounds:
-                if not len(live):
-                    break
-                same = same + (sig[live, n - BATCH : n] == sig[i, n - BATCH : n]).sum(axis=1)
+                same = same + (sig[x, n - BATCH : n] == sig[x + k, n - BATCH : n]).sum(axis=1)
                 go = same >= least
-                live, same = live[go], same[go]
-            if len(live):
-                found.append(pd.DataFrame({"left": np.minimum(node[i], node[live]), "right": np.maximum(node[i], node[live]), "c1": np.minimum(comp[i], comp[live]), "c2": np.maximum(comp[i], comp[live]), "same": same}))
+                x, same = x[go], same[go]
+            if len(x):
+                found.append(np.stack([x, x + k, same]))
         if not found:
-            return pd.DataFrame({"left": [], "right": []}, dtype="int64")
-        out = pd.concat(found).sort_values(["same", "left", "right"], ascending=[False, True, True])
-        return out.groupby(["c1", "c2"]).head(most)[["left", "right"]]
+            return pd.DataFrame({c: [] for c in ("left", "right", "c1", "c2", "same")}, dtype="int64")
+        x, y, same = np.concatenate(found, axis=1)
+        out = pd.DataFrame({"left": np.minimum(node[x], node[y]), "right": np.maximum(node[x], node[y]), "c1": np.minimum(comp[x], comp[y]), "c2": np.maximum(comp[x], comp[y]), "same": same})
+        return out.drop_duplicates(["left", "right"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -241,16 +247,14 @@ def _across(buckets: DataFrame, bounds: list[tuple[int, int]], most: int) -> Dat
                 continue
             if held:
                 pdf = pd.concat([*held, pdf], ignore_index=True)
-            key = pdf[["bucket", "part"]].to_numpy()
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            edges = [0, *cut.tolist()]
-            for a, b in zip(edges, edges[1:]):
-                yield compare(pdf.iloc[a:b])
-            held = [pdf.iloc[edges[-1] :]]
+            last = int(((pdf["bucket"] != pdf["bucket"].iloc[-1]) | (pdf["part"] != pdf["part"].iloc[-1])).to_numpy().sum())
+            if last:
+                yield compare(pdf.iloc[:last])
+            held = [pdf.iloc[last:]]
         if held:
             yield compare(held[0])
 
-    return buckets.mapInPandas(run, "left long, right long")
+    return buckets.mapInPandas(run, "left long, right long, c1 long, c2 long, same long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, most_rounds: int = 12) -> DataFrame:
@@ -299,8 +303,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         own = F.pmod(F.xxhash64("doc_id"), blocks)
         inside = inside.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         inside = inside.withColumn("part", F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).select("bucket", "part", "doc_id", "component")
-        rows = inside.join(sigs, "doc_id").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "component", "doc_id")
-        pairs = _across(rows.select("bucket", "part", "doc_id", "component", "sig"), bounds, 4 * 64**k).distinct().join(tested, ["left", "right"], "left_anti")
+        rows = inside.join(sigs, "doc_id").repartition(common.width(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "component", "doc_id")
+        survivors = _across(rows.select("bucket", "part", "doc_id", "component", "sig"), bounds).distinct().join(tested, ["left", "right"], "left_anti")
+        w = Window.partitionBy("c1", "c2").orderBy(F.desc("same"), "left", "right")
+        pairs = survivors.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 4 * 64**k).select("left", "right")
     else:
         raise RuntimeError("pairs were left unverified")
     placed = member.join(comp.withColumnRenamed("component", "c"), "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("c", "node")).alias("component_id"))
