@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.walk import cut
+
 GAP_SECONDS = 1800
 
 
@@ -29,10 +31,7 @@ def observations(events: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
 def nearest_ancestor(spans: DataFrame, facet: str, most_depth: int = 64) -> DataFrame:
     """(span_id, ancestor, depth): the nearest span above that has the facet. Each
     round moves all open chases one parent up; a cycle ends at ``most_depth``."""
-    from plumbline.operators.walk import reliable
-
-    reliable(spans.sparkSession)
-    s = spans.select("span_id", "parent_span_id", F.col(facet).isNotNull().alias("has")).dropDuplicates(["span_id"]).checkpoint()
+    s = cut(spans.select("span_id", "parent_span_id", F.col(facet).isNotNull().alias("has")).dropDuplicates(["span_id"]))
     up = s.select(F.col("span_id").alias("at"), F.col("parent_span_id").alias("up"), F.col("has").alias("at_has"))
     open_ = s.where("parent_span_id is not null").select("span_id", F.col("parent_span_id").alias("at"))
     out = None
@@ -40,7 +39,7 @@ def nearest_ancestor(spans: DataFrame, facet: str, most_depth: int = 64) -> Data
         j = open_.join(up, "at")
         hit = j.where("at_has").select("span_id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
         out = hit if out is None else out.unionByName(hit)
-        open_ = j.where("not at_has and up is not null").select("span_id", F.col("up").alias("at")).checkpoint()
+        open_ = cut(j.where("not at_has and up is not null").select("span_id", F.col("up").alias("at")))
         if open_.isEmpty():
             break
     return out

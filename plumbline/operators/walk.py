@@ -6,32 +6,54 @@ each grade floor: at floor g only edges of rank g or more are walked; a node's
 grade is the largest floor that reaches it and its hops are that floor's. All
 floors and all sources advance together: the frontier holds (source, floor,
 node), each round is one equi-join with the edges and one anti-join with what
-was reached before, and lineage is cut by a reliable checkpoint every few rounds.
+was reached before, and is written to the shared checkpoint folder, so lineage
+stays short and a lost executor costs no earlier round.
+
+A graph of at most SMALL distinct edges, which is checked first, is instead sent
+to all tasks as arrays, and each task searches from its own sources.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.plans.vocab import FLOW_TYPES, floor_of
 
 
-def reliable(spark: SparkSession) -> None:
-    """See that the session has a checkpoint folder. A cluster must name a shared
-    one; only in one process is a local one made."""
+#: Distinct edges up to which a graph is broadcast (about 50 MB).
+SMALL = 1_000_000
+
+
+def reliable(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A cluster must name a shared one; only in
+    one process is a local one made."""
     sc = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir():
-        return
-    if not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-checkpoints-"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="plumbline-checkpoints-")
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
-def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative", max_hops: int = 64, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, written to the checkpoint folder and read again."""
+    folder = f"{reliable(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative", max_hops: int = 64, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False, small: int = SMALL) -> DataFrame:
     """(source, node, rank, hops) of every node that each source reaches.
 
     ``starts``: (source, node). A start is in the result only if a cycle enters
@@ -39,13 +61,16 @@ def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative",
     and type unless ``types`` is None.
     """
     spark = edges.sparkSession
-    reliable(spark)
     least = floor_of(mode)
     e = edges if types is None else edges.where(F.col("type").isin(*types))
     e = e.where(F.col("rank") >= least)
     e = e.select(F.col("dst" if backward else "src").alias("node"), F.col("src" if backward else "dst").alias("next"), "rank")
     e = e.groupBy("node", "next").agg(F.max("rank").alias("rank"))  # parallel edges: the best one
-    e = e.checkpoint()
+    if small:
+        table = e.limit(small + 1).toArrow()
+        if table.num_rows <= small:
+            return _walk_arrays(table, starts, least, max_hops)
+    e = cut(e)
     floors = F.array(*[F.lit(g) for g in range(4, least - 1, -1)])
     front = starts.select("source", "node", F.explode(floors).alias("floor")).distinct()
     found: DataFrame | None = None
@@ -53,13 +78,13 @@ def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative",
         step = front.join(e, "node").where(F.col("rank") >= F.col("floor")).select("source", "floor", F.col("next").alias("node")).distinct()
         if found is not None:
             step = step.join(found.select("source", "floor", "node"), ["source", "floor", "node"], "left_anti")
-        step = step.checkpoint()
+        step = cut(step)
         if step.isEmpty():
             break
         layer = step.withColumn("hops", F.lit(hop))
         found = layer if found is None else found.unionByName(layer)
         if hop % 8 == 0:
-            found = found.checkpoint()
+            found = cut(found)
         front = step
     if found is None:
         return spark.createDataFrame([], "source string, node string, rank int, hops int")
@@ -67,10 +92,66 @@ def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative",
     return found.groupBy("source", "node").agg(best.alias("b")).select("source", "node", F.col("b.rank").alias("rank"), (-F.col("b.h")).alias("hops"))
 
 
-def reach(edges: DataFrame, start: str, mode: str = "conservative", max_hops: int = 64, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False) -> DataFrame:
+def _walk_arrays(table, starts: DataFrame, least: int, max_hops: int) -> DataFrame:
+    """``multi_walk`` over edges (node, next, rank) that fit every task."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = starts.sparkSession
+    ends = pa.chunked_array([*table["node"].chunks, *table["next"].chunks], pa.string()).combine_chunks().dictionary_encode()
+    names = ends.dictionary.to_numpy(zero_copy_only=False)
+    code = ends.indices.to_numpy()
+    src, dst, rank = code[: table.num_rows], code[table.num_rows :], pc.cast(table["rank"], pa.int8()).to_numpy()
+    order = np.argsort(src, kind="stable")
+    shared = spark.sparkContext.broadcast((names, np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order], rank[order]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, first, to, rank = shared.value
+        index = pd.Index(names)
+        for pdf in batches:
+            at = index.get_indexer(pdf["node"])
+            source, source_names = pd.factorize(pdf["source"])
+            best: list[tuple[np.ndarray, int, np.ndarray]] = []
+            for floor in range(4, least - 1, -1):
+                known = np.zeros(0, np.int64)
+                front = np.unique(source[at >= 0].astype(np.int64) * len(names) + at[at >= 0])
+                for hop in range(1, max_hops + 1):
+                    node = front % len(names)
+                    n = first[node + 1] - first[node]
+                    edge = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    key = np.repeat(front - node, n)
+                    ok = rank[edge] >= floor
+                    front = np.unique(key[ok] + to[edge[ok]])
+                    if len(known):
+                        where = np.minimum(np.searchsorted(known, front), len(known) - 1)
+                        front = front[known[where] != front]
+                    if not len(front):
+                        break
+                    known = np.union1d(known, front)
+                    best.append((front, floor, np.full(len(front), hop)))
+            if best:
+                key, floor, hops = np.concatenate([b[0] for b in best]), np.concatenate([np.full(len(b[0]), b[1]) for b in best]), np.concatenate([b[2] for b in best])
+                keep = np.sort(np.unique(key, return_index=True)[1])  # the strongest floor comes first
+                key = key[keep]
+                yield pd.DataFrame({"source": np.asarray(source_names)[key // len(names)], "node": names[key % len(names)], "rank": floor[keep], "hops": hops[keep]})
+
+    # a source's starts come to one batch: they are grouped into one row first
+    grouped = starts.select("source", "node").distinct()
+    single = grouped.groupBy("source").agg(F.collect_set("node").alias("nodes"))
+
+    some = max(1, 64_000_000 // max(1, len(names)))  # sources searched at once, so that even a dense graph's reach fits
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = (b.iloc[a : a + some] for b in batches for a in range(0, len(b), some))
+        yield from run(p.explode("nodes", ignore_index=True).rename(columns={"nodes": "node"}) for p in parts)
+
+    return single.mapInPandas(opened, "source string, node string, rank int, hops int")
+
+
+def reach(edges: DataFrame, start: str, mode: str = "conservative", max_hops: int = 64, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False, small: int = SMALL) -> DataFrame:
     """(node, rank, hops) from one start."""
     one = edges.sparkSession.createDataFrame([(start, start)], "source string, node string")
-    return multi_walk(edges, one, mode, max_hops, types, backward).drop("source")
+    return multi_walk(edges, one, mode, max_hops, types, backward, small).drop("source")
 
 
 def impact(edges: DataFrame, target: str, mode: str = "conservative", limit: int = 25, offset: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -129,9 +210,7 @@ def upstream(edges: DataFrame, starts: DataFrame, types: tuple[str, ...] = FLOW_
 def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: int = 40) -> DataFrame:
     """(node, component): the smallest id that is connected, by large-star and
     small-star rounds; ``nodes`` (node) adds nodes without edges."""
-    spark = edges.sparkSession
-    reliable(spark)
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct().checkpoint()
+    e = cut(edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -139,7 +218,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        e = small.checkpoint()
+        e = cut(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == before:
             break
@@ -156,13 +235,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(node, label): each round a node takes the commonest label around it, the
     smallest one of several."""
-    reliable(edges.sparkSession)
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct().checkpoint()
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
         w = Window.partitionBy("src").orderBy(F.desc("n"), "label")
-        labels = votes.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("src").alias("node"), "label").checkpoint()
+        labels = cut(votes.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("src").alias("node"), "label"))
     return labels
 
 

@@ -30,15 +30,16 @@ def by_labels(edges, start, mode, max_hops):
     return {(n, r, -h) for n, (r, h) in best.items()}
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_walk_matches_label_correcting_search(spark, seed):
+@pytest.mark.parametrize("small", [0, walk.SMALL], ids=["rounds", "arrays"])
+@pytest.mark.parametrize("seed", range(3))
+def test_walk_matches_label_correcting_search(spark, seed, small):
     rng = random.Random(seed)
     n = rng.randint(5, 9)
     edges = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", rng.randint(0, 4)) for _ in range(3 * n)]
     df = spark.createDataFrame([(a, b, "CALLS", r) for a, b, r in edges], "src string, dst string, type string, rank int")
     mode, hops = rng.choice(list(MODES)), rng.choice([2, 64])
     starts = [f"n{i}" for i in range(n)]
-    got = walk.multi_walk(df, spark.createDataFrame([(s, s) for s in starts], "source string, node string"), mode, hops).collect()
+    got = walk.multi_walk(df, spark.createDataFrame([(s, s) for s in starts], "source string, node string"), mode, hops, small=small).collect()
     for s in starts:
         assert {(r["node"], r["rank"], r["hops"]) for r in got if r["source"] == s} == by_labels(edges, s, mode, hops)
 
