@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import names
 from plumbline.operators import compare, reports, traces
-from plumbline.operators.walk import communities, components, multi_walk, reach, union_all, upstream
+from plumbline.operators.answers import top_per_key
+from plumbline.operators.walk import communities, components, multi_walk, reach, union_all, upstream, without_generated_interior
 from plumbline.sources.readers import html_facts
 from plumbline.sources.star import Star
 
@@ -284,7 +285,7 @@ def _communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- comparison, federation, scoring --------------------------------------------------------------
 def _packs(s: Star) -> tuple[DataFrame, DataFrame]:
     e = s.executes().select("src", "dst", "type", "rank")
-    key = F.regexp_extract("src", r":(\d+)-", 1).cast("long")
+    key = F.regexp_extract("src", r":(\d+)-", 1).try_cast("long")
     line = F.substring_index("src", "-", -1)
     head = e.where(key % 17 != 0).withColumn("rank", F.when(line == "1", 2).otherwise(F.col("rank")))
     return e, head
@@ -416,3 +417,104 @@ def _depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = s.endpoints().select(F.col("endpoint").alias("source"), F.col("endpoint").alias("node"))
     w = multi_walk(s.handles().unionByName(s.may_call()), starts, "heuristic")
     return w.groupBy(F.col("source").alias("endpoint")).agg(F.count("*").alias("symbols"), F.max("hops").alias("deepest"), F.max("rank").alias("best"))
+
+
+# --- more of the same graph -----------------------------------------------------------------------
+@query(
+    "reach_without_generated",
+    "with recursive " + GRAPH.replace("{floor}", "3").replace("calls.r >= walk.g)", "calls.r >= walk.g and not (calls.a % 10 = 0 and calls.b % 10 = 0))") + "select 'endpoint:' || c endpoint, count(*) symbols, max(h) deepest from syms group by c",
+)
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols below every endpoint when calls between two generated ones (orders
+    divisible by ten) are not walked."""
+    s = Star(spark, sf_dir)
+    made = s.orders().where("o_orderkey % 10 = 0").select(Star.id("symbol", "o_orderkey").alias("id"))
+    e = without_generated_interior(s.handles().unionByName(s.may_call()), made)
+    w = multi_walk(e, s.endpoints().select(F.col("endpoint").alias("source"), F.col("endpoint").alias("node")), "conservative")
+    return w.groupBy(F.col("source").alias("endpoint")).agg(F.count("*").alias("symbols"), F.max("hops").cast("long").alias("deepest"))
+
+
+@query("unreached_tables", graph_sql("select 'table:' || t \"table\", count(*) statements from (select distinct t, o, n from ex) anti join (select distinct t from touch) using (t) group by t", "strict"))
+def _unreached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that no endpoint reaches with certainty, with the statements on them."""
+    s = Star(spark, sf_dir)
+    seen = reports.touches(_walked(s, "strict"), s.executes(), "strict").select("table").distinct()
+    return reports.table_usage(s.executes()).join(seen, "table", "left_anti").select("table", "statements")
+
+
+@query(
+    "pack_ratios",
+    graph_sql(
+        """, q as (select 'endpoints_handled' metric, (select count(distinct c) from handles) a, (select count(*) from customer) b
+    union all select 'endpoints_reaching', (select count(distinct c) from st), (select count(*) from customer)
+    union all select 'calls_exact', (select count(*) filter (r = 4) from calls), (select count(*) from calls)
+    union all select 'statements_reached', (select count(*) from (select distinct o, n from st)), (select count(*) from stmts)
+    union all select 'nothing', 0, 0) select metric, a hits, b total, case when b <> 0 then round(a / b, 4) end ratio from q"""
+    ),
+)
+def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares that describe a pack; one without a population is unknown."""
+    s = Star(spark, sf_dir)
+    st = _walked(s, "conservative")
+    row = lambda name, df: df.select(F.lit(name).alias("metric"), "hits", "total")
+    endpoints, stmts = s.endpoints().agg(F.count("*").alias("total")), s.implements().agg(F.countDistinct("dst").alias("total"))
+    pairs = {
+        "endpoints_handled": s.handles().agg(F.countDistinct("src").alias("hits")).crossJoin(endpoints),
+        "endpoints_reaching": st.agg(F.countDistinct("endpoint").alias("hits")).crossJoin(endpoints),
+        "calls_exact": s.may_call().agg(F.count_if(F.col("rank") == 4).alias("hits"), F.count("*").alias("total")),
+        "statements_reached": st.agg(F.countDistinct("stmt").alias("hits")).crossJoin(stmts),
+        "nothing": spark.sql("select 0L hits, 0L total"),
+    }  # one row each
+    return union_all([row(k, v) for k, v in pairs.items()]).withColumn("ratio", compare.ratio(F.col("hits"), F.col("total")))
+
+
+@query("architecture", graph_sql("select a.o_orderpriority from_module, b.o_orderpriority to_module, count(*) calls, count(*) filter (calls.r = 2) heuristic, count(*) filter (calls.r = 3) sound_set, min('symbol:' || calls.a) example from calls join ord a on calls.a = a.o_orderkey join ord b on calls.b = b.o_orderkey group by 1, 2"))
+def _architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies of modules (priorities of orders) with a histogram of grades."""
+    s = Star(spark, sf_dir)
+    mod = s.orders().select(Star.id("symbol", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("module"))
+    e = s.may_call().join(mod.select(F.col("id").alias("src"), F.col("module").alias("from_module")), "src").join(mod.select(F.col("id").alias("dst"), F.col("module").alias("to_module")), "dst")
+    return e.groupBy("from_module", "to_module").agg(F.count("*").alias("calls"), F.count_if(F.col("rank") == 2).alias("heuristic"), F.count_if(F.col("rank") == 3).alias("sound_set"), F.min("src").alias("example"))
+
+
+@query("pack_diff_nodes", graph_sql(", b as (select distinct o, n from ex), h as (select distinct o, n from ex where o % 17 <> 0), bt as (select distinct t from ex), ht as (select distinct t from ex where o % 17 <> 0) select 'statement:' || o || '-' || n id, 'removed' status from b anti join h using (o, n) union all select 'table:' || t, 'removed' from bt anti join ht using (t)"))
+def _diff_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.diff_nodes(*_packs(Star(spark, sf_dir)))
+
+
+@query(
+    "top_tables_per_group",
+    graph_sql(
+        """, g as (select c_mktsegment api_group, t, count(distinct c) endpoints from touch join customer on c = c_custkey group by all)
+    select api_group, 'table:' || t "table", endpoints, place, total from (select *, row_number() over (partition by api_group order by endpoints desc, 'table:' || t) place, count(*) over (partition by api_group) total from g) where place <= 3"""
+    ),
+)
+def _top_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most used tables of every group, with the group's number of tables."""
+    t = _touches(spark, sf_dir).join(Star(spark, sf_dir).endpoints(), "endpoint").groupBy("api_group", "table").agg(F.countDistinct("endpoint").alias("endpoints"))
+    return top_per_key(t, ["api_group"], [F.desc("endpoints"), F.col("table")], 3)
+
+
+@query("route_templates", "with e as (select lower(c_mktsegment) s, lower(n_name) n, c_custkey k from customer join nation on c_nationkey = n_nationkey) select template, count(*) routes from (select case s when 'building' then '/building/{nation}/{id}' when 'machinery' then '/machinery/**' end template from e union all select '/*/nation_1/{id}' from e where n = 'nation_1') where template is not null group by 1")
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of the endpoints that each template matches."""
+    t = spark.createDataFrame([("/building/{nation}/{id}",), ("/machinery/**",), ("/*/nation_1/{id}",), ("/building/{id}",)], "template string")
+    e = Star(spark, sf_dir).endpoints().join(F.broadcast(t), names.route_matches(F.col("template"), F.col("path")))  # four templates
+    return e.groupBy("template").agg(F.count("*").alias("routes"))
+
+
+@query("text_search", "select conv_id, turn, count(*) over () total from conversations where contains(lower(text), 'the ') and role = 'user' order by conv_id, turn limit 25")
+def _text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = Star(spark, sf_dir).table("conversations").where(F.lower("text").contains("the ") & (F.col("role") == "user"))
+    return c.orderBy("conv_id", "turn").limit(25).select("conv_id", "turn").crossJoin(F.broadcast(c.agg(F.count("*").alias("total"))))  # one row
+
+
+@query("recorded_pairs", "with p as (select user_id, event_type callee, lag(event_type) over (partition by user_id order by ts, event_id) caller, cast(json_extract(props, '$.k') as bigint) k from events) select caller, callee, count(*) observed, min(k) least, max(k) most, count(distinct user_id) users from p where caller is not null group by 1, 2")
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring events of each user: how often, by how many, and the range of a
+    property."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    p = Star(spark, sf_dir).table("events").select("user_id", F.col("event_type").alias("callee"), F.lag("event_type").over(w).alias("caller"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return p.where("caller is not null").groupBy("caller", "callee").agg(F.count("*").alias("observed"), F.min("k").alias("least"), F.max("k").alias("most"), F.countDistinct("user_id").alias("users"))
