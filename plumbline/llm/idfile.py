@@ -6,9 +6,10 @@ checksummed. Three predictors see the ids so far: order 2 and order 1 each name
 the id that last followed the same two ids or the same id, with a confidence;
 order 0 is a distribution over ranges of ids, learned as it goes. Their
 predictions are mixed with weights learned for every pair of confidences, and
-the mixed interval drives a carryless range coder with 64-bit state. All blocks
-of a segment are coded in step, as rows of arrays; encoder and decoder run the
-same integer model, so they can't drift apart.
+the mixed interval drives a range coder with 64-bit state. All blocks of a
+segment are coded in step, as rows of arrays; encoder and decoder run the same
+integer model, so they can't drift apart. The encoder's digits of 16 bits are
+kept wider until the end, when carries are settled for all rows at once.
 
 A file: the magic, then segments. A segment: counts (documents, ids, blocks,
 ids a block), doc_ids and whether they are null, ids of each document, bytes
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import common
 
 MAGIC = b"PLIDS1\n"
-BLOCK, LANES = 4096, 3072
+BLOCK, LANES = 2048, 6144
 SLOTS2, SLOTS1, REBUILD = 2048, 1024, 32
 NOBODY = 0xFFFF
 U = np.uint64
@@ -55,64 +56,72 @@ def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 RANGE_OF, FIRST, WIDTH = _ranges()
 N_RANGES = len(FIRST)
-_TOP, _BOT = U(1 << 48), U(1 << 44)
+_LOW_RANGE = U(1 << 48)
 
 
 class _Model:
     """The predictors of many blocks, one row each. Rows come in order of length,
-    so those that are still going on are the first ``a``."""
+    so those that are still going on are the first ``a``. Most ids are named by
+    neither order 2 nor order 1, so rows are first treated as if none were and
+    the few others are put right by their numbers."""
 
     def __init__(self, lanes: int) -> None:
-        self.base2 = np.arange(lanes, dtype=np.int64) * SLOTS2
-        self.base1 = np.arange(lanes, dtype=np.int64) * SLOTS1
-        self.base_w = np.arange(lanes, dtype=np.int64) * 32
-        self.base_c = np.arange(lanes, dtype=np.int64) * (N_RANGES + 1)
-        self.base_n = np.arange(lanes, dtype=np.int64) * N_RANGES
+        row = np.arange(lanes, dtype=np.int64)
+        self.base2, self.base1, self.base_w = row * SLOTS2, row * SLOTS1, row * 32
+        self.base_c, self.base_n = row * (N_RANGES + 1), row * N_RANGES
         self.t2 = np.full(lanes * SLOTS2, NOBODY << 2, np.uint32)
         self.t1 = np.full(lanes * SLOTS1, NOBODY << 2, np.uint32)
         c = np.arange(32)
-        start = np.stack([(c >> 2 & 3) > 0, ((c & 3) > 0) & (c < 16), np.full(32, True)], axis=1).astype(np.int64)
-        self.w0, self.w1, self.w2 = (np.tile(x, lanes) for x in start.T * np.array([[1], [1], [2]]))
-        self.count = np.zeros(lanes * N_RANGES, np.int32)
-        self.lanes = lanes
-        self.id1 = np.zeros(lanes, np.int64)
-        self.id2 = np.zeros(lanes, np.int64)
+        self.w0 = np.tile(((c >> 2 & 3) > 0).astype(U), lanes)
+        self.w1 = np.tile((((c & 3) > 0) & (c < 16)).astype(U), lanes)
+        self.w2 = np.full(lanes * 32, 2, U)
+        self.count = np.zeros(lanes * N_RANGES, np.int64)
+        self.lanes, self.seen = lanes, []
+        self.id1, self.mixed2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.rebuild(lanes)
 
     def rebuild(self, a: int) -> None:
+        """Order 0 takes in the ranges seen since it was last made."""
+        if self.seen:
+            self.count += np.bincount(np.concatenate(self.seen), minlength=len(self.count))
+            self.seen.clear()
         cum = np.zeros((a, N_RANGES + 1), np.int32)
         np.cumsum(self.count.reshape(self.lanes, N_RANGES)[:a] * 4 + 1, axis=1, out=cum[:, 1:])
-        self.cum2d, self.cum = cum, cum.ravel()
+        self.upper = np.ascontiguousarray(cum[:, 1:])
+        self.cum = cum.astype(U).ravel()
+        self.total = cum[:, -1].astype(U)
 
     def look(self, a: int) -> None:
-        """What is predicted next: ids, confidences, weights."""
-        id1, id2 = self.id1[:a], self.id2[:a]
-        self.s2 = self.base2[:a] + (((id1 * 40503 + id2 * 30011) >> 3) & (SLOTS2 - 1))
-        self.s1 = self.base1[:a] + ((id1 * 40503 >> 5) & (SLOTS1 - 1))
+        """What is predicted next: ids with confidences, and weights."""
+        m = self.id1[:a] * 40503
+        self.s1 = self.base1[:a] + (m >> 5 & (SLOTS1 - 1))
+        self.s2 = self.base2[:a] + ((m + self.mixed2[:a]) >> 3 & (SLOTS2 - 1))
         self.e2, self.e1 = self.t2.take(self.s2), self.t1.take(self.s1)
-        self.p2, self.p1 = (self.e2 >> 2).astype(np.int64), (self.e1 >> 2).astype(np.int64)
-        self.c2, self.c1 = self.e2 & 3, self.e1 & 3
-        self.at = self.base_w[:a] + (self.c2 * 4 + self.c1) + 16 * (self.p1 == self.p2)
+        at = (self.e2 & 3) << 2 | (self.e1 & 3)
+        at += ((self.e2 ^ self.e1) < 4).view(np.uint8) * np.uint32(16)
+        self.at = self.base_w[:a] + at
         self.n2 = self.w0.take(self.at)
         self.n21 = self.n2 + self.w1.take(self.at)
-        self.n = self.n21 + self.w2.take(self.at)
-
-    def range_of(self, a: int, b: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, width and total of the ranges ``b``; where order 0 isn't asked, a
-        whole of one."""
-        c = self.base_c[:a] + b
-        first = self.cum.take(c)
-        width = np.where(miss, self.cum.take(c + 1) - first, 1)
-        return np.where(miss, first, 0).astype(U), width.astype(U), np.where(miss, self.cum2d[:a, N_RANGES], 1).astype(U)
-
-    def learn(self, a: int, ids: np.ndarray, ranges: np.ndarray, who: np.ndarray) -> None:
-        for k, w in enumerate((self.w0, self.w1, self.w2)):
-            w[self.at] += who == k
-        self.count[self.base_n[:a] + ranges] += 1
+        self.n0 = self.w2.take(self.at)
+
+    def learn(self, a: int, ids: np.ndarray, ranges: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``hit2``, ``hit1``: numbers of the rows that order 2 or order 1 coded."""
+        self.w2[self.at] = self.n0 + U(1)
+        for hit, w in ((hit2, self.w0), (hit1, self.w1)):
+            if len(hit):
+                own = self.at[hit]
+                self.w2[own] -= U(1)
+                w[own] += U(1)
+        self.seen.append(self.base_n[:a] + ranges)
         fresh = (ids << 2 | 1).astype(np.uint32)
-        for table, slot, e, p, c in ((self.t2, self.s2, self.e2, self.p2, self.c2), (self.t1, self.s1, self.e1, self.p1, self.c1)):
-            table[slot] = np.where(p == ids, e + (c < 3), np.where(c > 1, e - 1, fresh))
-        self.id2[:a], self.id1[:a] = self.id1[:a], ids
+        for table, slot, e in ((self.t2, self.s2, self.e2), (self.t1, self.s1, self.e1)):
+            table[slot] = fresh
+            same = np.flatnonzero((e ^ fresh) < 4)
+            if len(same):
+                old = e[same]
+                table[slot[same]] = old + ((old & 3) < 3)
+        self.mixed2[:a] = self.id1[:a] * 30011
+        self.id1[:a] = ids
 
 
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -124,62 +133,62 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         grid[:n, i] = ids[s : s + n]
     model = _Model(lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    out, pos = np.zeros((lanes, longest * 3 // 2 + 16), np.uint16), np.zeros(lanes, np.int64)
+    # a digit before the first and four after the last; a carry may make a digit 65536
+    out, pos = np.zeros((lanes, longest * 3 // 2 + 16), np.uint32), np.ones(lanes, np.int64)
+    flat, row = out.ravel(), np.arange(lanes) * out.shape[1]
     for t in range(longest):
         a = int(np.searchsorted(-sizes, -t, "left"))
         if t % REBUILD == 0:
             model.rebuild(a)
         x = grid[t, :a]
         model.look(a)
-        hit2 = x == model.p2
-        hit1 = (x == model.p1) & ~hit2
-        who = np.where(hit2, 0, np.where(hit1, 1, 2))
-        miss = who == 2
-        first = np.where(hit2, 0, np.where(hit1, model.n2, model.n21))
-        stop = np.where(hit2, model.n2, np.where(hit1, model.n21, model.n))
-        lo, r = low[:a], span[:a] // model.n.view(U)
-        lo += r * first.view(U)
-        r *= (stop - first).view(U)
+        named = x.astype(np.uint32) << 2
+        is2 = (model.e2 ^ named) < 4
+        hit2 = np.flatnonzero(is2)
+        hit1 = np.flatnonzero(((model.e1 ^ named) < 4) & ~is2)
         b = RANGE_OF.take(x)
-        first, width, total = model.range_of(a, b, miss)
+        c = model.base_c[:a] + b
+        first = model.cum.take(c)
+        width = model.cum.take(c + 1) - first
+        total, within, off = model.total[:a], WIDTH.take(b).view(U), (x - FIRST.take(b)).view(U)
+        begin, part = model.n21, model.n0
+        if len(hit2) + len(hit1):
+            begin, part, total = begin.copy(), part.copy(), total.copy()
+            begin[hit2], part[hit2] = 0, model.n2[hit2]
+            begin[hit1], part[hit1] = model.n2[hit1], model.n21[hit1] - model.n2[hit1]
+            for h in (hit2, hit1):
+                first[h], width[h], total[h], within[h], off[h] = 0, 1, 1, 1, 0
+        lo, r = low[:a], span[:a] // (model.n21 + model.n0)
+        add = r * begin
+        r *= part
         r //= total
-        lo += r * first
+        add += r * first
         r *= width
-        r //= np.where(miss, WIDTH.take(b), 1).view(U)
-        lo += r * np.where(miss, x - FIRST.take(b), 0).view(U)
+        r //= within
+        add += r * off
+        lo += add
+        carry = np.flatnonzero(lo < add)
+        if len(carry):
+            flat[row[carry] + pos[carry] - 1] += 1
         span[:a] = r
-        _shift_out(low, span, out, pos, a)
-        model.learn(a, x, b, who)
+        at = np.flatnonzero(r < _LOW_RANGE)
+        while len(at):
+            l2 = low[at]
+            flat[row[at] + pos[at]] = l2 >> U(48)
+            pos[at] += 1
+            low[at] = l2 << U(16)
+            sp = span[at] << U(16)
+            span[at] = sp
+            at = at[sp < _LOW_RANGE]
+        model.learn(a, x, b, hit2, hit1)
     for _ in range(4):
-        out[np.arange(lanes), pos] = low >> U(48)
+        flat[row + pos] = low >> U(48)
         low <<= U(16)
         pos += 1
-    return [out[i, :n].astype(">u2").tobytes() for i, n in enumerate(pos.tolist())]
-
-
-def _settle(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """Rows of which the top 16 bits can leave: they are fixed, or the range has
-    become so small that it is cut to end where they change."""
-    fixed = (low ^ (low + span)) < _TOP
-    small = ~fixed & (span < _BOT)
-    if small.any():
-        at = np.flatnonzero(small)
-        span[at] = (U(0) - low[at]) & (_BOT - U(1))
-        fixed |= small
-    return np.flatnonzero(fixed)
-
-
-def _shift_out(low: np.ndarray, span: np.ndarray, out: np.ndarray, pos: np.ndarray, a: int) -> None:
-    at = _settle(low[:a], span[:a])
-    while len(at):
-        lo, sp = low[at], span[at]
-        out[at, pos[at]] = lo >> U(48)
-        pos[at] += 1
-        lo <<= U(16)
-        sp <<= U(16)
-        more = _settle(lo, sp)
-        low[at], span[at] = lo, sp
-        at = at[more]
+    while len(over := np.flatnonzero(flat > 0xFFFF)):
+        flat[over - 1] += flat[over] >> 16
+        flat[over] &= 0xFFFF
+    return [out[i, 1:n].astype(">u2").tobytes() for i, n in enumerate(pos.tolist())]
 
 
 def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
@@ -189,49 +198,60 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     for i, b in enumerate(blocks):
         data[i, : len(b) // 2] = np.frombuffer(b, ">u2")
     model = _Model(lanes)
-    low, span, code, pos = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U), np.full(lanes, 4, np.int64)
+    span, ahead, pos = np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U), np.full(lanes, 4, np.int64)  # ahead: the code less the low end
+    flat, row = data.ravel(), np.arange(lanes) * data.shape[1]
     for k in range(4):
-        code = code << U(16) | data[:, k]
+        ahead = ahead << U(16) | data[:, k]
     grid = np.zeros((longest, lanes), np.uint16)
     for t in range(longest):
         a = int(np.searchsorted(-sizes, -t, "left"))
         if t % REBUILD == 0:
             model.rebuild(a)
         model.look(a)
-        lo, cd, r = low[:a], code[:a], span[:a] // model.n.view(U)
-        at = ((cd - lo) // r).view(np.int64)
-        hit2, below = at < model.n2, at < model.n21
-        who = np.where(hit2, 0, np.where(below, 1, 2))
-        miss = who == 2
-        first = np.where(hit2, 0, np.where(below, model.n2, model.n21))
-        stop = np.where(hit2, model.n2, np.where(below, model.n21, model.n))
-        lo += r * first.view(U)
-        r *= (stop - first).view(U)
-        total = model.cum2d[:a, N_RANGES]
-        q = r // np.where(miss, total, 1).astype(U)
-        want = np.minimum(((cd - lo) // q).view(np.int64), total - 1)
-        b = (model.cum2d[:a, 1:] > want.astype(np.int32)[:, None]).argmax(axis=1)
-        x = np.where(hit2, model.p2, model.p1)
-        first, width, _ = model.range_of(a, b, miss)
-        lo += q * first
-        q *= width
-        q //= np.where(miss, WIDTH.take(b), 1).view(U)
-        off = np.where(miss, ((cd - lo) // q).view(np.int64), 0)
-        lo += q * off.view(U)
-        x = np.where(miss, FIRST.take(b) + off, x)
-        span[:a] = q
+        behind, r = ahead[:a], span[:a] // (model.n21 + model.n0)
+        at = behind // r
+        is2 = at < model.n2
+        hit2 = np.flatnonzero(is2)
+        hit1 = np.flatnonzero((at < model.n21) & ~is2)
+        begin, part, total = model.n21, model.n0, model.total[:a]
+        if len(hit2) + len(hit1):
+            begin, part, total = begin.copy(), part.copy(), total.copy()
+            begin[hit2], part[hit2] = 0, model.n2[hit2]
+            begin[hit1], part[hit1] = model.n2[hit1], model.n21[hit1] - model.n2[hit1]
+            total[hit2] = total[hit1] = 1
+        behind -= r * begin
+        r *= part
+        r //= total
+        want = np.minimum(behind // r, total - U(1)).astype(np.int32)
+        b = (model.upper[:a] > want[:, None]).argmax(axis=1)
+        c = model.base_c[:a] + b
+        first = model.cum.take(c)
+        width = model.cum.take(c + 1) - first
+        within = WIDTH.take(b).view(U)
+        for h in (hit2, hit1):
+            if len(h):
+                first[h], width[h], within[h] = 0, 1, 1
+        behind -= r * first
+        r *= width
+        r //= within
+        off = behind // r
+        for h in (hit2, hit1):
+            off[h] = 0
+        behind -= r * off
+        x = FIRST.take(b) + off.view(np.int64)
+        x[hit2], x[hit1] = model.e2[hit2] >> 2, model.e1[hit1] >> 2
+        for h in (hit2, hit1):
+            b[h] = RANGE_OF.take(x[h])
+        span[:a] = r
         grid[t, :a] = x
-        live = _settle(lo, span[:a])
-        while len(live):
-            l2, sp = low[live] , span[live]
-            code[live] = code[live] << U(16) | data[live, pos[live]]
-            pos[live] += 1
-            l2 <<= U(16)
-            sp <<= U(16)
-            more = _settle(l2, sp)
-            low[live], span[live] = l2, sp
-            live = live[more]
-        model.learn(a, x, RANGE_OF.take(x), who)
+        at = np.flatnonzero(r < _LOW_RANGE)
+        while len(at):
+            ahead[at] = ahead[at] << U(16) | flat[row[at] + pos[at]]
+            pos[at] += 1
+            sp = span[at] << U(16)
+            span[at] = sp
+            at = at[sp < _LOW_RANGE]
+        model.learn(a, x, b, hit2, hit1)
     return np.concatenate([grid[:n, i] for i, n in enumerate(sizes.tolist())])
 
 
@@ -358,4 +378,4 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
         at += r["n_tokens"]
     if not files:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_files(spark.createDataFrame(files, "path string, start long").repartition(len(files), "path"))
+    return read_files(spark.createDataFrame(files, "path string, start long").repartitionByRange(len(files), "start"))
