@@ -57,4 +57,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_minhash_near_dedup, op7_n_best_pieces, op8_best_fit_packing, op9_transducer_token_counts, op10_byte_cnn_language,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle; the others' methods can't be put in SQL.
+ORACLE_SQL: dict[str, str] = {
+    "op6_minhash_near_dedup": r"""with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+sets as (select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], chr(1)))) when len(ws) > 0 then [array_to_string(ws, chr(1))] else [] end s from w),
+one as (select doc_id, len(s) n, unnest(s) sh from sets),
+links as (select a.doc_id x, b.doc_id y from one a join one b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways as (select x, y from links union all select y, x from links),
+r as (select doc_id x, doc_id y from sets union select r.x, b.y from r join both_ways b on r.y = b.x)
+select doc_id, len(s)::bigint n_shingles, c component_id, c = doc_id kept from sets join (select x doc_id, min(y) c from r group by x) using (doc_id)"""
+}
