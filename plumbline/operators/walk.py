@@ -19,6 +19,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -53,12 +54,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative", max_hops: int = 64, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False, small: int = SMALL) -> DataFrame:
+def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative", max_hops: int | None = None, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False, small: int = SMALL) -> DataFrame:
     """(source, node, rank, hops) of every node that each source reaches.
 
     ``starts``: (source, node). A start is in the result only if a cycle enters
     it again. ``types`` None walks all edge types; edges need (src, dst, rank),
-    and type unless ``types`` is None.
+    and type unless ``types`` is None. ``max_hops`` None walks until nothing new
+    is reached.
     """
     spark = edges.sparkSession
     least = floor_of(mode)
@@ -73,26 +75,27 @@ def multi_walk(edges: DataFrame, starts: DataFrame, mode: str = "conservative",
     e = cut(e)
     floors = F.array(*[F.lit(g) for g in range(4, least - 1, -1)])
     front = starts.select("source", "node", F.explode(floors).alias("floor")).distinct()
-    found: DataFrame | None = None
-    for hop in range(1, max_hops + 1):
+    layers: list[DataFrame] = []
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         step = front.join(e, "node").where(F.col("rank") >= F.col("floor")).select("source", "floor", F.col("next").alias("node")).distinct()
-        if found is not None:
-            step = step.join(found.select("source", "floor", "node"), ["source", "floor", "node"], "left_anti")
+        if layers:
+            step = step.join(union_all(layers).select("source", "floor", "node"), ["source", "floor", "node"], "left_anti")
         step = cut(step)
         if step.isEmpty():
             break
-        layer = step.withColumn("hops", F.lit(hop))
-        found = layer if found is None else found.unionByName(layer)
-        if hop % 8 == 0:
-            found = cut(found)
+        layers.append(step.withColumn("hops", F.lit(hop)))
+        n = hop
+        while n % 8 == 0:  # eight of one size become one, so a row is written again log8(hops) times
+            layers[-8:] = [cut(union_all(layers[-8:]))]
+            n //= 8
         front = step
-    if found is None:
+    if not layers:
         return spark.createDataFrame([], "source string, node string, rank int, hops int")
     best = F.max(F.struct(F.col("floor").alias("rank"), (-F.col("hops")).alias("h")))
-    return found.groupBy("source", "node").agg(best.alias("b")).select("source", "node", F.col("b.rank").alias("rank"), (-F.col("b.h")).alias("hops"))
+    return union_all(layers).groupBy("source", "node").agg(best.alias("b")).select("source", "node", F.col("b.rank").alias("rank"), (-F.col("b.h")).alias("hops"))
 
 
-def _walk_arrays(table, starts: DataFrame, least: int, max_hops: int) -> DataFrame:
+def _walk_arrays(table, starts: DataFrame, least: int, max_hops: int | None) -> DataFrame:
     """``multi_walk`` over edges (node, next, rank) that fit every task."""
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -113,21 +116,19 @@ def _walk_arrays(table, starts: DataFrame, least: int, max_hops: int) -> DataFra
             source, source_names = pd.factorize(pdf["source"])
             best: list[tuple[np.ndarray, int, np.ndarray]] = []
             for floor in range(4, least - 1, -1):
-                known = np.zeros(0, np.int64)
+                known = np.zeros(len(source_names) * len(names), bool)
                 front = np.unique(source[at >= 0].astype(np.int64) * len(names) + at[at >= 0])
-                for hop in range(1, max_hops + 1):
+                for hop in count(1) if max_hops is None else range(1, max_hops + 1):
                     node = front % len(names)
                     n = first[node + 1] - first[node]
                     edge = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                     key = np.repeat(front - node, n)
                     ok = rank[edge] >= floor
                     front = np.unique(key[ok] + to[edge[ok]])
-                    if len(known):
-                        where = np.minimum(np.searchsorted(known, front), len(known) - 1)
-                        front = front[known[where] != front]
+                    front = front[~known[front]]
                     if not len(front):
                         break
-                    known = np.union1d(known, front)
+                    known[front] = True
                     best.append((front, floor, np.full(len(front), hop)))
             if best:
                 key, floor, hops = np.concatenate([b[0] for b in best]), np.concatenate([np.full(len(b[0]), b[1]) for b in best]), np.concatenate([b[2] for b in best])
@@ -148,7 +149,7 @@ def _walk_arrays(table, starts: DataFrame, least: int, max_hops: int) -> DataFra
     return single.mapInPandas(opened, "source string, node string, rank int, hops int")
 
 
-def reach(edges: DataFrame, start: str, mode: str = "conservative", max_hops: int = 64, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False, small: int = SMALL) -> DataFrame:
+def reach(edges: DataFrame, start: str, mode: str = "conservative", max_hops: int | None = None, types: tuple[str, ...] | None = FLOW_TYPES, backward: bool = False, small: int = SMALL) -> DataFrame:
     """(node, rank, hops) from one start."""
     one = edges.sparkSession.createDataFrame([(start, start)], "source string, node string")
     return multi_walk(edges, one, mode, max_hops, types, backward, small).drop("source")

@@ -44,6 +44,13 @@ def test_walk_matches_label_correcting_search(spark, seed, small):
         assert {(r["node"], r["rank"], r["hops"]) for r in got if r["source"] == s} == by_labels(edges, s, mode, hops)
 
 
+@pytest.mark.parametrize("small,n", [(0, 67), (walk.SMALL, 3000)], ids=["rounds", "arrays"])
+def test_walk_goes_to_the_end_of_a_long_chain(spark, small, n):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "CALLS", 4) for i in range(n)], "src string, dst string, type string, rank int")
+    got = walk.reach(e, "n0", "strict", small=small).collect()
+    assert {(r["node"], r["rank"], r["hops"]) for r in got} == {(f"n{i}", 4, i) for i in range(1, n + 1)}
+
+
 def test_backward_walk_and_paging(spark):
     rows = [("screen:a", "endpoint:b", "CALLS_HTTP", 3), ("endpoint:b", "symbol:c", "HANDLES", 4), ("symbol:c", "statement:d", "IMPLEMENTS_STMT", 4), ("statement:d", "table:t", "EXECUTES", 4)]
     e = spark.createDataFrame(rows, "src string, dst string, type string, rank int")
