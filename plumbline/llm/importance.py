@@ -8,8 +8,11 @@ n-grams, so long texts count no more than short ones. Gumbel noise, made from
 the id, is added, and the ``k`` largest sums are a sample without replacement
 in proportion to importance.
 
-``k`` is the share of good labels of all rows and three standard errors more,
-so that noise in the labels costs no good text. The k-th key is found by
+``k`` is the larger of two numbers. One is the share of good labels of all rows
+and three standard errors more, so that noise in the labels costs no good text;
+only labels of rows of the input count. The other is the number of rows over the
+key that parts good labels from bad ones, so that an input cleaner than its
+labels loses no text that scores as good ones do. The k-th key is found by
 histograms, so no row is gathered and exactly ``k`` rows are kept; ties go to
 the smaller id.
 
@@ -138,10 +141,17 @@ def weigh(docs: DataFrame, ratio: np.ndarray, effective: float) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def model(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[np.ndarray, float, int]:
-    """Log ratios of all buckets, the share of good labels and their number. The target is
-    estimated from at most about ``labelled`` good rows, the raw model from all."""
+def labels_of(docs: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
+    """(doc_id, quality) of the labels of rows of ``docs``, written once."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
+    lab = lab.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    return common.written(docs.sparkSession, lab, f"{folder}/labels")
+
+
+def model(docs: DataFrame, lab: DataFrame, labelled: int) -> tuple[np.ndarray, float, int]:
+    """Log ratios of all buckets, the share of good labels (as ``labels_of`` has them) and
+    their number. The target is estimated from at most about ``labelled`` good rows, the
+    raw model from all."""
     good, n = lab.agg(F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)), F.count("*")).first()
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) + 0.5) / (1 << 30)
     ids = lab.where((F.col("quality") == 1) & (unit < min(1.0, labelled / max(1, good)))).select("doc_id").distinct().limit(2 * labelled).withColumn("good", F.lit(True))
@@ -195,26 +205,50 @@ def sample_size(n: int, share: float, n_labels: int, errors: float = 3.0) -> int
     return min(n, math.ceil(n * (share + errors * math.sqrt(share * (1 - share) / max(1, n_labels)))))
 
 
+def parting_key(scored: DataFrame, lab: DataFrame, loss: int = 10, cells: int = 16) -> float:
+    """The lowest key that best parts good labels from bad ones, where a good row
+    below it counts as ``loss`` bad ones above it. Keys are counted in cells of a
+    ``cells``-th, so their range and not the rows bounds what the driver holds."""
+    rows = scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.floor(F.col("key") * cells).alias("cell")).join(lab, "doc_id")
+    good = F.col("quality") == 1
+    found = rows.groupBy("cell").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad")).orderBy("cell").collect()
+    if not found:
+        return math.inf
+    n_good, n_bad = (np.concatenate([[0], np.cumsum([r[c] for r in found])]) for c in ("good", "bad"))
+    at = int(np.argmin(loss * n_good + n_bad[-1] - n_bad))
+    return (found[at - 1]["cell"] + 1 if at else found[0]["cell"]) / cells
+
+
+def kept_rows(scored: DataFrame, lab: DataFrame, share: float, n_labels: int) -> DataFrame:
+    """``scored`` with ``kept``: the share of good labels, and all that score as good ones do."""
+    n, over = scored.agg(F.count("*"), F.count_if(F.col("key") >= parting_key(scored, lab))).first()
+    return sample_top(scored, max(over, sample_size(n, share, n_labels)))
+
+
 def resample(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, effective: float = 64.0) -> DataFrame:
     """(doc_id, n_grams, log_weight, key, kept) of every row."""
     spark = docs.sparkSession
-    ratio, share, n_labels = model(docs, labels, labelled)
+    folder = common.shared_dir(spark)
+    lab = labels_of(docs, labels, folder)
+    ratio, share, n_labels = model(docs, lab, labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = keyed(weigh(rows, ratio, effective).drop("text"))
-    scored = common.written(spark, scored, f"{common.shared_dir(spark)}/scored")
+    scored = common.written(spark, scored, f"{folder}/scored")
     if not ratio.any():
         return scored.withColumn("kept", F.col("log_weight").isNotNull())
-    return sample_top(scored, sample_size(scored.count(), share, n_labels)).select("doc_id", "n_grams", "log_weight", "key", "kept")
+    return kept_rows(scored, lab, share, n_labels).select("doc_id", "n_grams", "log_weight", "key", "kept")
 
 
 def selected(docs: DataFrame, labels: DataFrame, labelled: int = 20_000, effective: float = 64.0) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns only. They are
     written once with their keys, so no join brings the texts back."""
     spark = docs.sparkSession
-    ratio, share, n_labels = model(docs, labels, labelled)
+    folder = common.shared_dir(spark)
+    lab = labels_of(docs, labels, folder)
+    ratio, share, n_labels = model(docs, lab, labelled)
     hidden, restored = common.aside(docs)
     scored = keyed(weigh(hidden, ratio, effective))
-    scored = common.written(spark, scored, f"{common.shared_dir(spark)}/scored")
+    scored = common.written(spark, scored, f"{folder}/scored")
     if not ratio.any():
         return restored(scored.where("log_weight is not null"))
-    return restored(sample_top(scored, sample_size(scored.count(), share, n_labels)).where("kept"))
+    return restored(kept_rows(scored, lab, share, n_labels).where("kept"))

@@ -199,6 +199,22 @@ def test_resampling_keeps_exactly_k_by_brute_force(spark, odd, none, sf_dir):
         assert len(top) == 51 and top["kept"].sum() == min(k, 51) and top[top["kept"]]["key"].sum() == sum(sorted(top["key"])[::-1][:k])
 
 
+def test_resampling_keeps_an_input_that_is_cleaner_than_its_labels(spark):
+    rng = random.Random(8)
+    clean, junk = [f"w{i}" for i in range(200)], [f"J{i}#" for i in range(200)]
+    text = lambda words: " ".join(rng.choices(words, k=60))
+    # labelled rows are half junk, the unlabelled hot source is clean
+    rows = [(i, text(clean if i % 2 else junk)) for i in range(400)] + [(1000 + i, text(clean)) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    want = {i for i, _ in rows if i >= 1000 or i % 2}
+    got = importance.resample(docs, labels).where("kept")
+    assert {r["doc_id"] for r in got.select("doc_id").collect()} == want
+    assert {r["doc_id"] for r in importance.selected(docs, labels).select("doc_id").collect()} == want
+    # labels of rows that an earlier stage took away have no say
+    assert importance.selected(docs.where("doc_id % 2 = 1 or doc_id >= 1000"), labels).count() == len(want)
+
+
 def test_log_ratios_and_grams():
     b, own = importance.grams(["The cat, the CAT", "", "x x"])
     assert len(b) == 3 * 7 and set(own.tolist()) == {0, 2} and b.max() < importance.BUCKETS
