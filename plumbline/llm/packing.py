@@ -1,13 +1,13 @@
-"""Best-fit packing of documents into token sequences, with certified bounds.
+"""Best-fit packing of documents into token sequences, with a certified bound.
 
 Documents are tokenized and only those longer than a sequence are cut. Pieces
 are spread evenly over partitions; each partition packs by best fit, longest
-first, and dual feasible functions bound from below how many sequences its
-pieces need. Partitions exchange what keeps them from the common bound: each
-releases its loosest sequences, those that hold nine tenths of its spare room;
-what is released is spread over fewer partitions and packed again, until one
-partition holds all of it. So all but the last have sequences that are nearly
-full, and only the last may miss its bound.
+first. Dual feasible functions bound from below how many sequences the pieces
+of all partitions need. While there are more than that, partitions exchange:
+each releases its loosest sequences, those that hold nine tenths of its spare
+room; what is released is spread over fewer partitions and packed again, until
+the bound is met or one partition holds all of it. ``certificate`` gives the
+sequences of a result and their bound.
 
 Null texts are empty documents (the end id alone). Repeated rows are documents
 of their own. An empty table gives no rows. Other columns are ignored.
@@ -61,9 +61,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
 def dual_feasible_bound(lengths: np.ndarray, capacity: int) -> int:
     """A lower bound of the bins that hold ``lengths``: the best over the plain
     sum and two families of dual feasible functions (Fekete and Schepers)."""
-    if not len(lengths):
+    return bound_of_counts(*np.unique(np.asarray(lengths, np.int64), return_counts=True), capacity)
+
+
+def bound_of_counts(size: np.ndarray, n: np.ndarray, capacity: int) -> int:
+    """``dual_feasible_bound`` of ``n`` lengths of each ``size`` (ascending)."""
+    if not len(size):
         return 0
-    size, n = np.unique(np.asarray(lengths, np.int64), return_counts=True)
     best = -(-int((size * n).sum()) // capacity)
     # items over capacity - t count whole, items under t not at all
     total, small = int((size * n).sum()), np.cumsum(size * n)
@@ -112,7 +116,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool, share: float = 0.9) -> DataFrame:
     """One round: pieces with their place; those with ``kept`` false are released.
-    ``bins`` and ``bound`` stand once for each partition, else they are 0."""
+    ``bins`` and ``kept_bins`` stand once for each partition, else they are 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
@@ -123,9 +127,7 @@ def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool, s
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         size = pdf["length"].to_numpy()
         at, offset, room = best_fit_decreasing(size, capacity)
-        bound = dual_feasible_bound(size, capacity)
-        # the gap in tokens: what an exchange with other partitions can save, their bound not being rounded up
-        gap = max((len(room) - bound) * capacity, int(room.sum()))
+        gap = int(room.sum())  # in tokens: what an exchange with other partitions can save at most
         freed = np.zeros(len(room), bool)
         if gap > 0 and not last:
             loose = np.argsort(-room, kind="stable")
@@ -134,11 +136,22 @@ def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool, s
         part = TaskContext.get().partitionId()
         pdf["sequence_id"] = (np.int64(step) << 56) + (np.int64(part) << 32) + at
         pdf["offset"], pdf["kept"] = offset, ~freed[at]
-        pdf["bins"] = pdf["bound"] = np.int64(0)
-        pdf.loc[0, ["bins", "bound"]] = len(room), bound
+        pdf["bins"] = pdf["kept_bins"] = np.int64(0)
+        pdf.loc[0, ["bins", "kept_bins"]] = len(room), int((~freed).sum())
         yield pdf
 
-    return pieces.repartition(parts).mapInPandas(run, f"{PIECES}, sequence_id long, offset long, kept boolean, bins long, bound long")
+    return pieces.repartition(parts).mapInPandas(run, f"{PIECES}, sequence_id long, offset long, kept boolean, bins long, kept_bins long")
+
+
+def _bound(pieces: DataFrame, capacity: int) -> int:
+    """The bound over all pieces; at most ``capacity`` rows come to the driver."""
+    rows = sorted(pieces.groupBy("length").count().collect())
+    return bound_of_counts(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), capacity)
+
+
+def certificate(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
+    """The sequences of ``packed`` and how many its pieces need at least."""
+    return packed.select("sequence_id").distinct().count(), _bound(packed, capacity)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, part_pieces: int = 60_000, rounds: int = 6) -> DataFrame:
@@ -150,6 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
     folder = common.shared_dir(spark)
     left = common.written(spark, token_pieces(docs, tokenizer, end_id, capacity), f"{folder}/pieces")
     done: DataFrame | None = None
+    bound, full = _bound(left, capacity), 0
     for step in range(rounds):
         n = left.count()
         parts = max(1, math.ceil(n / part_pieces))
@@ -157,7 +171,10 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
             parts = max(1, math.ceil(n / (4 * part_pieces)))
         last = step == rounds - 1 or parts == 1
         packed = common.written(spark, _pack(left, parts, capacity, step, last), f"{folder}/round{step}")
-        kept = packed.where("kept").drop("kept", "bins", "bound")
+        bins, kept_bins = packed.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum("kept_bins"), F.lit(0))).first()
+        last = last or full + bins <= bound  # no packing has fewer
+        full += kept_bins
+        kept = (packed if last else packed.where("kept")).drop("kept", "bins", "kept_bins")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break

@@ -155,6 +155,13 @@ def test_dual_feasible_bounds_never_pass_the_optimum():
     assert packing.dual_feasible_bound(np.array([7, 7, 7]), 12) == 3  # the plain sum says 2
 
 
+def test_packing_stops_at_the_bound(spark):
+    docs = spark.createDataFrame([(i, "word " * 300) for i in range(10)], "doc_id long, text string")  # no two fit together
+    got = packing.pack(docs, WORD, capacity=512, part_pieces=5)
+    assert packing.certificate(got, 512) == (10, 10)
+    assert got.where("sequence_id >= 1L << 56").count() == 0  # nothing is left to exchange
+
+
 def test_packing_places_every_token_once(odd_docs, none):
     want = library(WORD)
     got = packing.pack(odd_docs, WORD, capacity=512, part_pieces=5).toPandas()
