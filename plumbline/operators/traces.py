@@ -28,21 +28,21 @@ def observations(events: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     return pairs.groupBy("caller", F.col("event_type").alias("callee")).agg(F.count("*").alias("observed"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.bool_or(direct).alias("direct"))
 
 
-def nearest_ancestor(spans: DataFrame, facet: str, most_depth: int = 64) -> DataFrame:
-    """(span_id, ancestor, depth): the nearest span above that has the facet. Each
-    round moves all open chases one parent up; a cycle ends at ``most_depth``."""
+def nearest_ancestor(spans: DataFrame, facet: str, most_depth: int | None = None) -> DataFrame:
+    """(span_id, ancestor, depth): the nearest span above that has the facet, at
+    most ``most_depth`` parents up if that is given. Each round doubles the reach
+    of all open chases; what is open beyond the number of spans is a cycle."""
     s = cut(spans.select("span_id", "parent_span_id", F.col(facet).isNotNull().alias("has")).dropDuplicates(["span_id"]))
-    up = s.select(F.col("span_id").alias("at"), F.col("parent_span_id").alias("up"), F.col("has").alias("at_has"))
-    open_ = s.where("parent_span_id is not null").select("span_id", F.col("parent_span_id").alias("at"))
-    out = None
-    for depth in range(1, most_depth + 1):
-        j = open_.join(up, "at")
-        hit = j.where("at_has").select("span_id", F.col("at").alias("ancestor"), F.lit(depth).alias("depth"))
-        out = hit if out is None else out.unionByName(hit)
-        open_ = cut(j.where("not at_has and up is not null").select("span_id", F.col("up").alias("at")))
-        if open_.isEmpty():
-            break
-    return out
+    has = s.select(F.col("span_id").alias("at"), F.col("has").alias("found"))
+    jump = cut(s.select("span_id", F.col("parent_span_id").alias("at"), F.lit(1).alias("depth")).join(has, "at").select("span_id", "at", "depth", "found"))
+    far, n = 1, s.count()
+    while far <= n and not jump.where("not found").isEmpty():
+        more = jump.select(F.col("span_id").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"), F.col("found").alias("up_found"))
+        on = jump.where("not found").join(more, "at").select("span_id", F.col("up").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("up_found").alias("found"))
+        jump = cut(jump.where("found").unionByName(on))
+        far *= 2
+    out = jump.where("found").select("span_id", F.col("at").alias("ancestor"), "depth")
+    return out if most_depth is None else out.where(F.col("depth") <= most_depth)
 
 
 def first_wins(keys: Column, values: Column) -> Column:

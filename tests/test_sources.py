@@ -114,6 +114,12 @@ def test_span_ancestors_and_first_key(spark):
     assert m == {"k": 1, "j": 3}
 
 
+def test_ancestors_over_64_parents_up_and_cycles(spark):
+    rows = [("s0", None, "m")] + [(f"s{i}", f"s{i - 1}", None) for i in range(1, 101)] + [("x", "y", None), ("y", "x", None), ("z", "gone", None)]
+    got = traces.nearest_ancestor(spark.createDataFrame(rows, "span_id string, parent_span_id string, method string"), "method")
+    assert {tuple(r) for r in got.collect()} == {(f"s{i}", "s0", i) for i in range(1, 101)}
+
+
 def test_scores(spark):
     r = one(spark, w=compare.wilson_lower(F.lit(30.0), F.lit(30.0)), n=compare.wilson_lower(F.lit(0.0), F.lit(0.0)), q=compare.ratio(F.lit(1), F.lit(3)), u=compare.ratio(F.lit(1), F.lit(0)))
     assert abs(r["w"] - 0.8865) < 1e-3 and r["n"] is None and r["q"] == 0.3333 and r["u"] is None
