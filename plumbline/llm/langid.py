@@ -9,7 +9,7 @@ probabilities are averaged by length.
 ``lang_pred`` is the language of the largest mean, ``score`` its share of
 exp(mean). A text that is null or has no letter is ``und`` with score 0; so is
 every text when nothing labelled could be learned from. Null ids are no
-training rows. Repeated rows give repeated rows; an empty table gives none;
+training rows. Over 500 languages are an error (``most_langs``). Repeated rows give repeated rows; an empty table gives none;
 other columns are ignored. Ties go to the language that sorts first.
 """
 
@@ -130,12 +130,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> ByteNet | None:
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, most_langs: int = 500) -> ByteNet | None:
     """A network from at most about ``train_docs`` documents of each language, and
-    TRAIN_WINDOWS windows of each at places spread over its whole text."""
+    TRAIN_WINDOWS windows of each at places spread over its whole text. All languages
+    are learned; over ``most_langs`` of them, more than a driver can train, are an error."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()
+    sizes = rows.groupBy("lang").count().limit(most_langs + 1).collect()
+    if len(sizes) > most_langs:
+        raise ValueError(f"there are over {most_langs} languages; give fit() a larger most_langs or documents of fewer languages")
+    sizes.sort(key=lambda r: (-r["count"], r["lang"]))
     if not sizes:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["count"]))]), F.col("lang"))

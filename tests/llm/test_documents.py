@@ -171,6 +171,12 @@ def test_language_is_learned_from_other_rows(spark, odd, none, sf_dir):
     assert langid.language(odd.withColumn("lang", F.lit(None).cast("string"))).toPandas()["lang_pred"].eq("und").all()
 
 
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(3 * i, "some text", f"l{i % 4}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 3 languages"):
+        langid.fit(docs, most_langs=3)
+
+
 def test_convolution_by_tables_equals_the_direct_sum():
     rng = np.random.default_rng(1)
     w = rng.integers(0, 256, (40, langid.WINDOW)).astype(np.uint16)
