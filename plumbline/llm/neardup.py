@@ -16,7 +16,8 @@ the rounds end when no unverified pair across components survives.
 
 Null texts have no words. Repeated rows are copies. Rows with a null id take no
 part: their component is null and they aren't kept. Rows of one id but unequal
-texts count as linked. An empty table gives no rows; other columns are ignored.
+texts count as linked; a class whose smallest id has other texts too is a node
+of its own above all ids, and linked with that id. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,6 +158,18 @@ def _bounds(threshold: float, miss: float) -> list[tuple[int, int]]:
     return [(n, least_matches(n, threshold, miss)) for n in range(BATCH, N_HASH + 1, BATCH)]
 
 
+def _named(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, name1, name2, raw) of every row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            raw = [bytes(x) for x in pdf["raw"]]
+            names = [set_name(s) for _, part in _groups(raw) for s in shingle_sets(part, words)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "name1": [a for a, _ in names], "name2": [b for _, b in names], "raw": raw})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("raw")).mapInPandas(run, "doc_id long, name1 long, name2 long, raw binary")
+
+
 def _survive(pairs: DataFrame, sigs: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     """Pairs (left, right) that no batch of their signatures prunes."""
 
@@ -265,11 +278,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     folder = common.shared_dir(spark)
     info = common.written(spark, _signatures(docs, words), f"{folder}/info")
     ids = info.where("doc_id is not null")
-    classes = ids.where("n_shingles > 0").groupBy("name1", "name2").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
+    classes = ids.where("n_shingles > 0").groupBy("name1", "name2").agg(F.min("doc_id").alias("node"))
+    same = ids.groupBy("doc_id").agg(F.min("name1").alias("a"), F.max("name1").alias("b")).where("a <> b").select("doc_id")  # one id, unequal texts
+    same = common.written(spark, same, f"{folder}/same")
+    twice = None
+    if same.head(1):
+        top = ids.agg(F.max("doc_id")).first()[0]
+        own = F.lit(top) + F.row_number().over(Window.orderBy("name1", "name2"))
+        twice = classes.withColumnRenamed("node", "doc_id").join(same, "doc_id", "left_semi").withColumn("own", own)
+        twice = common.written(spark, twice, f"{folder}/twice")
+        classes = classes.join(twice.select("name1", "name2", "own"), ["name1", "name2"], "left").select("name1", "name2", F.coalesce("own", "node").alias("node"))
     member = ids.where("n_shingles > 0").select("doc_id", "name1", "name2").distinct().join(classes.select("name1", "name2", "node"), ["name1", "name2"]).select("doc_id", "node")
     member = common.written(spark, member, f"{folder}/member")
     # one row for each class: that of its smallest id
     sets = ids.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id").select("doc_id", "sig", "bands")
+    if twice is not None:
+        sets = sets.unionByName(ids.join(twice, ["doc_id", "name1", "name2"]).select(F.col("own").alias("doc_id"), "sig", "bands"))
     sets = sets.dropDuplicates(["doc_id"])
 
     # buckets that hold more than one class
@@ -279,12 +303,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     buckets = common.written(spark, buckets, f"{folder}/buckets")
     there = buckets.select("doc_id").distinct()
     sigs = common.written(spark, sets.select("doc_id", "sig").join(there, "doc_id", "left_semi"), f"{folder}/sigs")
-    raw = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("raw")).join(there, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    raw = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("raw")).join(there, "doc_id", "left_semi")
+    if twice is not None:
+        unequal = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).join(same, "doc_id", "left_semi")
+        raw = raw.unionByName(_named(unequal, words).join(twice, ["doc_id", "name1", "name2"]).select(F.col("own").alias("doc_id"), "raw").join(there, "doc_id", "left_semi"))
+    raw = raw.dropDuplicates(["doc_id"])
     texts = common.written(spark, raw, f"{folder}/texts")
 
     bounds = _bounds(percent / 100, miss)
     pairs = buckets.where("hub <> doc_id").select(F.col("hub").alias("left"), F.col("doc_id").alias("right")).distinct()
-    same = ids.groupBy("doc_id").agg(F.min("name1").alias("a"), F.max("name1").alias("b")).where("a <> b").select("doc_id")  # one id, unequal texts
     extra = member.join(same, "doc_id", "left_semi").select(F.col("doc_id").alias("left"), F.col("node").alias("right"))
     tested = links = None
     for k in range(most_rounds):

@@ -144,6 +144,15 @@ def test_near_duplicates_odd_rows(odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_copies_of_both_texts_of_one_id(spark):
+    rng = random.Random(9)
+    a, b, c = ([f"{k}{rng.randrange(500)}" for _ in range(80)] for k in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (1, ""), (2, near(a)), (3, near(b)), (4, " ".join(b)), (5, " ".join(c)), (6, near(c))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1), (5, 5), (6, 5)]
+
+
 def test_prune_bounds_follow_the_posterior():
     for n in (30, 150):
         m = neardup.least_matches(n, 0.8, 1e-6)
