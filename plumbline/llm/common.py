@@ -86,3 +86,15 @@ def aside(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "text", "lang")) -
     names = {c: c if c in keep else f"_column_{i}" for i, c in enumerate(docs.columns)}
     hidden = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     return hidden, lambda df: df.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
+def marked(docs: DataFrame, *cols: str | Column) -> DataFrame:
+    """``doc_id`` as a long that is never null (0 for null), ``no_id``, and ``cols``:
+    pandas holds longs beside nulls as floats, which would change large ids."""
+    key = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(key, F.lit(0)).alias("doc_id"), key.isNull().alias("no_id"), *cols)
+
+
+def unmarked(df: DataFrame) -> DataFrame:
+    """What ``marked`` made, with null ids again."""
+    return df.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

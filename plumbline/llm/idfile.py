@@ -330,7 +330,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, m
                 for s in slices(texts):
                     got, n = tok.batch(texts[s])
                     got = np.insert(got, np.cumsum(n), np.uint16(end_id))
-                    keys += [None if pd.isna(d) else int(d) for d in pdf["doc_id"].iloc[s]]
+                    keys += [None if z else d for d, z in zip(pdf["doc_id"].iloc[s].tolist(), pdf["no_id"].iloc[s].tolist())]
                     counts.append(n + 1)
                     ids.append(got)
                     waiting += len(got)
@@ -347,7 +347,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, m
     common.ship(docs.sparkSession)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cols = cols.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return cols.mapInPandas(run, "part int, path string, n_docs long, n_tokens long")
+    return common.marked(cols, "text").mapInPandas(run, "part int, path string, n_docs long, n_tokens long")
 
 
 def read_files(files: DataFrame) -> DataFrame:
@@ -359,12 +359,12 @@ def read_files(files: DataFrame) -> DataFrame:
                 for keys, counts, ids in read_segments(path):
                     ids = ids.astype("<u4")
                     edge = np.concatenate([[0], np.cumsum(counts)])
-                    out = pd.DataFrame({"doc_id": pd.array(keys, dtype="Int64"), "start": at + edge[:-1], "n_tokens": counts})
+                    out = pd.DataFrame({"doc_id": np.array([d or 0 for d in keys], np.int64), "no_id": [d is None for d in keys], "start": at + edge[:-1], "n_tokens": counts})
                     out["ids_crc32"] = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
                     at += len(ids)
                     yield out
 
-    return files.mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.unmarked(files.mapInPandas(run, "doc_id long, no_id boolean, start long, n_tokens long, ids_crc32 long"))
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

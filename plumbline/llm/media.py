@@ -32,7 +32,7 @@ from plumbline.llm import common
 
 FRAME, HOP, REACH_T, REACH_F, FAN_OUT, FAR, RATE = 512, 256, 4, 12, 3, 63, 8000
 _WINDOW = np.hanning(FRAME).astype(np.float32)
-COLUMNS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_peaks long, fingerprint array<long>"
+COLUMNS = "doc_id long, no_id boolean, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_peaks long, fingerprint array<long>"
 
 
 def to_wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -166,7 +166,7 @@ def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 files = [to_wav(padded(x)) for x in raw]
                 back = [from_wav(x) for x in files]
                 codes, n_peaks = fingerprints(back)
-                out = pd.DataFrame({"doc_id": part["doc_id"].array})
+                out = part[["doc_id", "no_id"]].reset_index(drop=True)
                 out["n_bytes"] = [len(x) for x in raw]
                 out["payload_bytes"] = [len(x) for x in back]
                 out["payload_sha256"] = [hashlib.sha256(x).hexdigest() for x in back]
@@ -181,4 +181,4 @@ def media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 yield out
 
     common.ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("raw")).mapInPandas(run, COLUMNS + (", media binary" if keep_media else ""))
+    return common.unmarked(common.marked(docs, common.text_bytes().alias("raw")).mapInPandas(run, COLUMNS + (", media binary" if keep_media else "")))

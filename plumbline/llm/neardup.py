@@ -142,6 +142,7 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "doc_id": pdf["doc_id"].array[at : at + len(part)],
+                        "no_id": pdf["no_id"].array[at : at + len(part)],
                         "n_shingles": [len(s) for s in sets],
                         "name1": [a for a, _ in names],
                         "name2": [b for _, b in names],
@@ -150,8 +151,8 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
                     }
                 )
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("raw"))
-    return cols.mapInPandas(run, "doc_id long, n_shingles long, name1 long, name2 long, sig binary, bands array<long>")
+    cols = common.marked(docs, common.text_bytes().alias("raw"))
+    return common.unmarked(cols.mapInPandas(run, "doc_id long, no_id boolean, n_shingles long, name1 long, name2 long, sig binary, bands array<long>"))
 
 
 def _bounds(threshold: float, miss: float) -> list[tuple[int, int]]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
         tok = open_tokenizer(tokenizer)
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
-            key = pdf["doc_id"].tolist()
+            key = list(zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist()))
             for part in slices(texts):
                 ids, count = tok.batch(texts[part])
                 ids = ids.astype("<u4")
@@ -49,13 +49,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                     at += n
                     for k, s in enumerate(range(0, n + 1, capacity)):
                         one = own[s : s + capacity]
-                        rows.append((doc, k, s, len(one), zlib.crc32(one.tobytes())))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = pd.array(out["doc_id"].tolist(), dtype="Int64")
-                yield out
+                        rows.append((*doc, k, s, len(one), zlib.crc32(one.tobytes())))
+                yield pd.DataFrame(rows, columns=["doc_id", "no_id", "piece", "start", "length", "ids_crc32"])
 
     common.ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
+    return common.marked(docs, F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES)
 
 
 def dual_feasible_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -124,7 +122,7 @@ def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool, s
             return
         pdf = pd.concat(rows, ignore_index=True)
         # equal input, in any order, is packed alike when a task runs again
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["no_id", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         size = pdf["length"].to_numpy()
         at, offset, room = best_fit_decreasing(size, capacity)
         gap = int(room.sum())  # in tokens: what an exchange with other partitions can save at most
@@ -178,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        left = packed.where("not kept").select("doc_id", "piece", "start", "length", "ids_crc32")
+        left = packed.where("not kept").select("doc_id", "no_id", "piece", "start", "length", "ids_crc32")
         if not left.head(1):
             break
-    return done
+    return common.unmarked(done)

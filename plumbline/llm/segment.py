@@ -370,16 +370,15 @@ def n_best(docs: DataFrame, model: str, n: int = 4, keep_ids: bool = False) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seg = _open.get((model, n)) or _open.setdefault((model, n), Segmenter(model, n))
         for pdf in batches:
-            texts, key = pdf["text"].fillna("").tolist(), pdf["doc_id"].tolist()
+            texts, key = pdf["text"].fillna("").tolist(), list(zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist()))
             for s in slices(texts):
                 rows = []
                 for doc, paths in zip(key[s], seg.best(texts[s])):
                     for k, (score, ids, exact) in enumerate(paths, 1):
-                        rows.append((doc, k, score, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), exact, *([ids.astype(np.int32)] if keep_ids else [])))
-                out = pd.DataFrame(rows, columns=["doc_id", "rank", "score", "n_tokens", "ids_crc32", "round_trip", *(["ids"] if keep_ids else [])])
-                out["doc_id"] = pd.array(out["doc_id"].tolist(), dtype="Int64")
+                        rows.append((*doc, k, score, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), exact, *([ids.astype(np.int32)] if keep_ids else [])))
+                out = pd.DataFrame(rows, columns=["doc_id", "no_id", "rank", "score", "n_tokens", "ids_crc32", "round_trip", *(["ids"] if keep_ids else [])])
                 yield out
 
     common.ship(docs.sparkSession)
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInPandas(run, "doc_id long, rank int, score double, n_tokens long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if keep_ids else ""))
+    cols = common.marked(docs, F.col("text").cast("string").alias("text"))
+    return common.unmarked(cols.mapInPandas(run, "doc_id long, no_id boolean, rank int, score double, n_tokens long, ids_crc32 long, round_trip boolean" + (", ids array<int>" if keep_ids else "")))

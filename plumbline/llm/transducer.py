@@ -397,8 +397,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
             n = np.concatenate([np.zeros(0, np.int64), *(counter.counts(texts[s]) for s in slices(texts))])
-            yield pdf[["doc_id", "n_bytes"]].assign(n_tokens=n, over_limit=n > limit)
+            yield pdf[["doc_id", "no_id", "n_bytes"]].assign(n_tokens=n, over_limit=n > limit)
 
     common.ship(docs.sparkSession)
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
-    return cols.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    cols = common.marked(docs, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
+    return common.unmarked(cols.mapInPandas(run, "doc_id long, no_id boolean, n_bytes long, n_tokens long, over_limit boolean"))

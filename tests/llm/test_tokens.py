@@ -10,7 +10,9 @@ import numpy as np
 import pytest
 
 pt = pytest.importorskip("public_tokenizers")
-from plumbline.llm import idfile, packing, segment, transducer, wordtok  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from plumbline.llm import idfile, langid, media, neardup, packing, segment, sharding, transducer, wordtok  # noqa: E402
 
 ODD = [
     "", " ", "  ", "it's  don't 'tis we've they'll ''s 'RE x's't  \n\n 's \n's a\n", "ΣΑΣ Σ İstanbul é ﬁ ½ ²3 12", " x  y　", "a\0b", "'", "x'", "x're", "x'r", "x'l l",
@@ -177,3 +179,14 @@ def test_packing_places_every_token_once(odd_docs, none):
     total = got["length"].sum()
     assert got["sequence_id"].nunique() <= -(-total // 512) + 1
     assert packing.pack(none, WORD).count() == 0
+
+
+def test_large_ids_stay_exact_beside_null_ids(spark):
+    big = [(1 << 60) + 1, (1 << 60) + 3]
+    docs = spark.createDataFrame([(big[0], "one text"), (None, "no id"), (big[1], "another text")], "doc_id long, text string").coalesce(1)
+    runs = {
+        "media": media.media(docs), "files": idfile.round_trip(docs, BYTE), "near": neardup.near_duplicates(docs), "pieces": segment.n_best(docs, PIECE),
+        "packing": packing.pack(docs, WORD), "counts": transducer.token_counts(docs, WORD), "language": langid.language(docs.withColumn("lang", F.lit("en"))), "shards": sharding.shard(docs),
+    }
+    for name, df in runs.items():
+        assert {r["doc_id"] for r in df.select("doc_id").distinct().collect()} == {*big, None}, name
