@@ -4,18 +4,19 @@ Ids of documents in ascending doc_id order are cut into blocks. Each block is
 coded by itself: its models start empty and its bytes and its ids are
 checksummed. Three predictors see the ids so far: order 2 and order 1 each name
 the id that last followed the same two ids or the same id, with a confidence;
-order 0 is a distribution over ranges of ids, learned as it goes. Their
-predictions are mixed with weights learned for every pair of confidences, and
-the mixed interval drives a range coder with 64-bit state. All blocks of a
-segment are coded in step, as rows of arrays; encoder and decoder run the same
-integer model, so they can't drift apart. The encoder's digits of 16 bits are
-kept wider until the end, when carries are settled for all rows at once.
+order 0 is a distribution over ranges of ids, learned as it goes, even within a
+range. Shares adapted for every pair of confidences mix the three, and the mixed
+interval drives a range coder with 64-bit state and digits of 32 bits. All
+probabilities are of 12 bits and all ranges powers of two wide, so coding needs
+no division. All blocks of a segment are coded in step, as rows of arrays;
+encoder and decoder run the same integer model, so they can't drift apart.
 
 A file: the magic, then segments. A segment: counts (documents, ids, blocks,
 ids a block), doc_ids and whether they are null, ids of each document, bytes
 and both checksums of each block, then the blocks.
 
-Null texts are empty documents (the end id alone). Null ids come first. Rows of
+Null texts are empty documents (the end id alone). Texts of any length are
+coded whole, across blocks. Null ids come first. Rows of
 one doc_id are ordered by text. Repeated rows are documents of their own; an
 empty table gives no files and no rows; other columns are ignored.
 """
@@ -36,90 +37,106 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
-MAGIC = b"PLIDS1\n"
-BLOCK, LANES = 2048, 6144
-SLOTS2, SLOTS1, REBUILD = 2048, 1024, 32
+MAGIC = b"PLIDS2\n"
+BLOCK, LANES = 4096, 2048
+SLOTS2, SLOTS1, REBUILD = 1024, 1024, 64
 NOBODY = 0xFFFF
 U = np.uint64
+BITS = 12  # of every probability; a digit is 32 bits, and no id takes more than one
 
 
 def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64 ranges of ids, wider towards large ids: range of an id, first id, width."""
-    edge = sorted({0, *np.unique(np.round(65536 ** (np.arange(1, 600) / 600.0)).astype(int)).tolist()})
-    while len(edge) > 64:  # drop the edge between the two narrowest neighbours in the logarithm
-        gaps = [(np.log(edge[i + 2] + 64) - np.log(edge[i] + 64), i + 1) for i in range(len(edge) - 2)]
-        del edge[min(gaps)[1]]
-    first = np.array(edge, np.int64)
-    width = np.diff(np.append(first, 65536))
-    return np.repeat(np.arange(len(first)), width), first, width
+    """Ranges of ids as wide as a power of two, wider towards large ids: range of
+    an id, first id, bits of the width."""
+    bits = [4] * 16 + [6] * 12 + [8] * 12 + [10] * 60
+    width = 1 << np.array(bits, np.int64)
+    return np.repeat(np.arange(len(width)), width), np.cumsum(width) - width, np.array(bits, np.uint64)
 
 
-RANGE_OF, FIRST, WIDTH = _ranges()
+RANGE_OF, FIRST, WIDTH_BITS = _ranges()
+_LOW = U(1 << 32)
 N_RANGES = len(FIRST)
-_LOW_RANGE = U(1 << 48)
+#: Stands for the range of an id that order 1 or order 2 names: all of the interval.
+NAMED = N_RANGES + 1
+FIRST, WIDTH_BITS = np.append(FIRST, [0, 0]), np.append(WIDTH_BITS, np.zeros(2, np.uint64))
+#: Shares of order 2, and of order 1 among the rest, before anything is seen, by
+#: confidence, and between what they stay; the shares seen weigh more from PRIOR ids on.
+_BEGIN, _LEAST, _MOST2, _MOST1, PRIOR = np.array([4, 1250, 2250, 3250]), 4, 4032, 3840, 16
+_CONTEXT = np.arange(32)
+_BEGIN2, _BEGIN1 = _BEGIN[_CONTEXT >> 2 & 3], np.where(_CONTEXT < 16, _BEGIN[_CONTEXT & 3] * 3 // 4 + 1, _LEAST)
 
 
 class _Model:
     """The predictors of many blocks, one row each. Rows come in order of length,
-    so those that are still going on are the first ``a``. Most ids are named by
-    neither order 2 nor order 1, so rows are first treated as if none were and
-    the few others are put right by their numbers."""
+    so those that are still going on are the first ``a``."""
 
     def __init__(self, lanes: int) -> None:
         row = np.arange(lanes, dtype=np.int64)
         self.base2, self.base1, self.base_w = row * SLOTS2, row * SLOTS1, row * 32
-        self.base_c, self.base_n = row * (N_RANGES + 1), row * N_RANGES
-        self.t2 = np.full(lanes * SLOTS2, NOBODY << 2, np.uint32)
-        self.t1 = np.full(lanes * SLOTS1, NOBODY << 2, np.uint32)
-        c = np.arange(32)
-        self.w0 = np.tile(((c >> 2 & 3) > 0).astype(U), lanes)
-        self.w1 = np.tile((((c & 3) > 0) & (c < 16)).astype(U), lanes)
-        self.w2 = np.full(lanes * 32, 2, U)
-        self.count = np.zeros(lanes * N_RANGES, np.int64)
-        self.lanes, self.seen = lanes, []
+        self.base_c, self.base_n = row * (N_RANGES + 3), row * N_RANGES
+        self.t2 = np.full(lanes * SLOTS2, NOBODY << 2, np.int32)
+        self.t1 = np.full(lanes * SLOTS1, NOBODY << 2, np.int32)
+        self.tries = np.zeros((lanes, 32, 3), np.int64)  # by confidences: coded by order 0, 1, 2
+        self.upto = np.tile(np.arange(1, N_RANGES + 1, dtype=np.int32), (lanes, 1))  # four for each id seen, and one
+        self.lanes, self.seen, self.outcomes = lanes, [], []
         self.id1, self.mixed2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.rebuild(lanes)
 
-    def rebuild(self, a: int) -> None:
-        """Order 0 takes in the ranges seen since it was last made."""
+    def rebuild(self, a: int, t: int) -> None:
+        """Order 0 and the shares of the orders take in what was seen since they were
+        last made; ``t``: ids that each of the first ``a`` rows has seen."""
         if self.seen:
-            self.count += np.bincount(np.concatenate(self.seen), minlength=len(self.count))
+            self.tries += np.bincount(np.concatenate(self.outcomes), minlength=self.tries.size).reshape(self.tries.shape)
+            self.outcomes.clear()
+            new = np.bincount(np.concatenate(self.seen), minlength=self.lanes * N_RANGES).reshape(self.lanes, N_RANGES)
+            self.upto += np.cumsum(new * 4, axis=1, dtype=np.int32)
             self.seen.clear()
-        cum = np.zeros((a, N_RANGES + 1), np.int32)
-        np.cumsum(self.count.reshape(self.lanes, N_RANGES)[:a] * 4 + 1, axis=1, out=cum[:, 1:])
-        self.upper = np.ascontiguousarray(cum[:, 1:])
-        self.cum = cum.astype(U).ravel()
-        self.total = cum[:, -1].astype(U)
+        cum = np.zeros((a, N_RANGES + 3), np.int64)
+        # every range keeps a share of at least one
+        upper = self.upto[:a] * np.int32((1 << BITS) - N_RANGES) // np.int32(4 * t + N_RANGES)
+        upper += np.arange(1, N_RANGES + 1, dtype=np.int32)
+        cum[:, 1 : N_RANGES + 1] = upper
+        cum[:, NAMED + 1] = 1 << BITS
+        self.upper = np.ascontiguousarray(upper.astype(np.int16).T)
+        self.cum = cum.ravel().view(U)
+        none, one, two = np.moveaxis(self.tries[:a], 2, 0)
+        q2 = np.clip(((two << BITS) + PRIOR * _BEGIN2) // (none + one + two + PRIOR), _LEAST, _MOST2)
+        q1 = np.clip(((one << BITS) + PRIOR * _BEGIN1) // (none + one + PRIOR), _LEAST, _MOST1)
+        self.upto2 = q2.ravel().view(U)
+        self.upto21 = (q2 + 1 + (((1 << BITS) - 8 - q2) * q1 >> BITS)).ravel().view(U)
 
     def look(self, a: int) -> None:
-        """What is predicted next: ids with confidences, and weights."""
+        """What is predicted next: ids with confidences, and their shares."""
         m = self.id1[:a] * 40503
-        self.s1 = self.base1[:a] + (m >> 5 & (SLOTS1 - 1))
-        self.s2 = self.base2[:a] + ((m + self.mixed2[:a]) >> 3 & (SLOTS2 - 1))
-        self.e2, self.e1 = self.t2.take(self.s2), self.t1.take(self.s1)
-        at = (self.e2 & 3) << 2 | (self.e1 & 3)
-        at += ((self.e2 ^ self.e1) < 4).view(np.uint8) * np.uint32(16)
-        self.at = self.base_w[:a] + at
-        self.n2 = self.w0.take(self.at)
-        self.n21 = self.n2 + self.w1.take(self.at)
-        self.n0 = self.w2.take(self.at)
-
-    def learn(self, a: int, ids: np.ndarray, ranges: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit2``, ``hit1``: numbers of the rows that order 2 or order 1 coded."""
-        self.w2[self.at] = self.n0 + U(1)
-        for hit, w in ((hit2, self.w0), (hit1, self.w1)):
-            if len(hit):
-                own = self.at[hit]
-                self.w2[own] -= U(1)
-                w[own] += U(1)
+        s2 = m + self.mixed2[:a]
+        s2 >>= 3
+        s2 &= SLOTS2 - 1
+        s2 += self.base2[:a]
+        m >>= 5
+        m &= SLOTS1 - 1
+        m += self.base1[:a]
+        self.s1, self.s2 = m, s2
+        e2, e1 = self.t2.take(s2), self.t1.take(m)
+        at = e2 & 3
+        at <<= 2
+        at |= e1 & 3
+        at += ((e2 ^ e1) < 4).view(np.int8) * np.int32(16)
+        self.e2, self.e1 = e2, e1
+        self.at = at = self.base_w[:a] + at
+        self.q2, self.q21 = self.upto2.take(at), self.upto21.take(at)
+
+    def learn(self, a: int, ids: np.ndarray, named: np.ndarray, ranges: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
+        """``named``: the ids as tables hold them; ``is2``, ``is1``: the rows that order
+        2 or order 1 coded."""
+        at = self.at * 3
+        at += is1
+        at += is2
+        at += is2
+        self.outcomes.append(at)
         self.seen.append(self.base_n[:a] + ranges)
-        fresh = (ids << 2 | 1).astype(np.uint32)
+        fresh = named | np.int32(1)
         for table, slot, e in ((self.t2, self.s2, self.e2), (self.t1, self.s1, self.e1)):
-            table[slot] = fresh
-            same = np.flatnonzero((e ^ fresh) < 4)
-            if len(same):
-                old = e[same]
-                table[slot[same]] = old + ((old & 3) < 3)
+            surer = np.minimum(e + 1, e | 3)
+            table[slot] = np.where((e ^ fresh) < 4, surer, fresh)
         self.mixed2[:a] = self.id1[:a] * 30011
         self.id1[:a] = ids
 
@@ -128,131 +145,141 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Each block's bytes; ``sizes`` of consecutive blocks must not grow."""
     lanes, longest = len(sizes), int(sizes[0])
     start = np.cumsum(sizes) - sizes
-    grid = np.zeros((longest, lanes), np.int64)
+    rows = np.zeros((lanes, longest), np.uint16)
     for i, (s, n) in enumerate(zip(start.tolist(), sizes.tolist())):
-        grid[:n, i] = ids[s : s + n]
+        rows[i, :n] = ids[s : s + n]
     model = _Model(lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    # a digit before the first and four after the last; a carry may make a digit 65536
-    out, pos = np.zeros((lanes, longest * 3 // 2 + 16), np.uint32), np.ones(lanes, np.int64)
+    # a digit before the first, at most one for each id, and two after the last
+    out, pos = np.zeros((lanes, longest + 4), np.uint32), np.ones(lanes, np.int64)
     flat, row = out.ravel(), np.arange(lanes) * out.shape[1]
+    one, whole = U(1), U(1 << BITS)
     for t in range(longest):
-        a = int(np.searchsorted(-sizes, -t, "left"))
+        a = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
         if t % REBUILD == 0:
-            model.rebuild(a)
-        x = grid[t, :a]
+            model.rebuild(a, t)
+            turned = np.ascontiguousarray(rows[:, t : t + REBUILD].T)
+        x = turned[t % REBUILD, :a].astype(np.int64)
         model.look(a)
-        named = x.astype(np.uint32) << 2
+        named = x.astype(np.int32) << 2
         is2 = (model.e2 ^ named) < 4
-        hit2 = np.flatnonzero(is2)
-        hit1 = np.flatnonzero(((model.e1 ^ named) < 4) & ~is2)
-        b = RANGE_OF.take(x)
-        c = model.base_c[:a] + b
-        first = model.cum.take(c)
-        width = model.cum.take(c + 1) - first
-        total, within, off = model.total[:a], WIDTH.take(b).view(U), (x - FIRST.take(b)).view(U)
-        begin, part = model.n21, model.n0
+        is1 = (model.e1 ^ named) < 4
+        is1 &= ~is2
+        b = own = RANGE_OF.take(x)
+        off = x - FIRST.take(b)
+        begin, part = model.q21, whole - model.q21
+        hit2, hit1 = np.flatnonzero(is2), np.flatnonzero(is1)
         if len(hit2) + len(hit1):
-            begin, part, total = begin.copy(), part.copy(), total.copy()
-            begin[hit2], part[hit2] = 0, model.n2[hit2]
-            begin[hit1], part[hit1] = model.n2[hit1], model.n21[hit1] - model.n2[hit1]
-            for h in (hit2, hit1):
-                first[h], width[h], total[h], within[h], off[h] = 0, 1, 1, 1, 0
-        lo, r = low[:a], span[:a] // (model.n21 + model.n0)
-        add = r * begin
+            part[hit2], part[hit1] = model.q2[hit2], (model.q21 - model.q2)[hit1]
+            begin = begin.copy()
+            begin[hit2], begin[hit1] = 0, model.q2[hit1]
+            hit, own = np.concatenate([hit2, hit1]), b.copy()
+            own[hit], off[hit] = NAMED, 0
+        c = model.base_c[:a] + own
+        first = model.cum.take(c)
+        c += 1
+        width = model.cum.take(c)
+        width -= first
+        bits, off = WIDTH_BITS.take(own), off.view(U)
+        r = span[:a] >> U(BITS)
+        begin *= r
         r *= part
-        r //= total
-        add += r * first
+        r >>= U(BITS)
+        first *= r
+        begin += first
         r *= width
-        r //= within
-        add += r * off
-        lo += add
-        carry = np.flatnonzero(lo < add)
-        if len(carry):
-            flat[row[carry] + pos[carry] - 1] += 1
+        r >>= bits
+        off *= r
+        begin += off
+        lo = low[:a]
+        lo += begin
+        over = np.flatnonzero(lo < begin)
+        if len(over):
+            over = row[over] + pos[over] - 1
+            while len(over):  # a carry goes on where a digit was full
+                flat[over] += np.uint32(1)
+                over = over[flat[over] == 0] - 1
+        at = np.flatnonzero(r < _LOW)
         span[:a] = r
-        at = np.flatnonzero(r < _LOW_RANGE)
-        while len(at):
-            l2 = low[at]
-            flat[row[at] + pos[at]] = l2 >> U(48)
-            pos[at] += 1
-            low[at] = l2 << U(16)
-            sp = span[at] << U(16)
-            span[at] = sp
-            at = at[sp < _LOW_RANGE]
-        model.learn(a, x, b, hit2, hit1)
-    for _ in range(4):
-        flat[row + pos] = low >> U(48)
-        low <<= U(16)
+        if len(at):
+            span[at] = r[at] << U(32)
+            l2 = lo[at]
+            p = pos[at]
+            flat[row[at] + p] = l2 >> U(32)
+            pos[at] = p + 1
+            lo[at] = l2 << U(32)
+        model.learn(a, x, named, b, is2, is1)
+    for _ in range(2):
+        flat[row + pos] = low >> U(32)
+        low <<= U(32)
         pos += 1
-    while len(over := np.flatnonzero(flat > 0xFFFF)):
-        flat[over - 1] += flat[over] >> 16
-        flat[over] &= 0xFFFF
-    return [out[i, 1:n].astype(">u2").tobytes() for i, n in enumerate(pos.tolist())]
+    return [out[i, 1:n].astype(">u4").tobytes() for i, n in enumerate(pos.tolist())]
 
 
 def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """The ids of all blocks, one after another."""
     lanes, longest = len(sizes), int(sizes[0])
-    data = np.zeros((lanes, max(map(len, blocks)) // 2 + 8), np.uint16)
+    data = np.zeros((lanes, max(map(len, blocks)) // 4 + 4), np.uint32)
     for i, b in enumerate(blocks):
-        data[i, : len(b) // 2] = np.frombuffer(b, ">u2")
+        data[i, : len(b) // 4] = np.frombuffer(b, ">u4")
     model = _Model(lanes)
-    span, ahead, pos = np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U), np.full(lanes, 4, np.int64)  # ahead: the code less the low end
+    span, pos = np.full(lanes, (1 << 64) - 1, U), np.full(lanes, 2, np.int64)
+    ahead = data[:, 0].astype(U) << U(32) | data[:, 1]  # the code less the low end
     flat, row = data.ravel(), np.arange(lanes) * data.shape[1]
-    for k in range(4):
-        ahead = ahead << U(16) | data[:, k]
-    grid = np.zeros((longest, lanes), np.uint16)
+    rows, turned = np.zeros((lanes, longest), np.uint16), np.zeros((REBUILD, lanes), np.uint16)
+    whole, most = U(1 << BITS), U((1 << BITS) - 1)
     for t in range(longest):
-        a = int(np.searchsorted(-sizes, -t, "left"))
+        a = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
         if t % REBUILD == 0:
-            model.rebuild(a)
+            model.rebuild(a, t)
         model.look(a)
-        behind, r = ahead[:a], span[:a] // (model.n21 + model.n0)
-        at = behind // r
-        is2 = at < model.n2
-        hit2 = np.flatnonzero(is2)
-        hit1 = np.flatnonzero((at < model.n21) & ~is2)
-        begin, part, total = model.n21, model.n0, model.total[:a]
+        behind, r = ahead[:a], span[:a] >> U(BITS)
+        upto2, begin = r * model.q2, r * model.q21
+        is2, is1 = behind < upto2, behind < begin
+        is1 &= ~is2
+        hit2, hit1 = np.flatnonzero(is2), np.flatnonzero(is1)
+        part = whole - model.q21
         if len(hit2) + len(hit1):
-            begin, part, total = begin.copy(), part.copy(), total.copy()
-            begin[hit2], part[hit2] = 0, model.n2[hit2]
-            begin[hit1], part[hit1] = model.n2[hit1], model.n21[hit1] - model.n2[hit1]
-            total[hit2] = total[hit1] = 1
-        behind -= r * begin
+            part[hit2], part[hit1] = model.q2[hit2], (model.q21 - model.q2)[hit1]
+            begin[hit2], begin[hit1] = 0, upto2[hit1]
+        behind -= begin
         r *= part
-        r //= total
-        want = np.minimum(behind // r, total - U(1)).astype(np.int32)
-        b = (model.upper[:a] > want[:, None]).argmax(axis=1)
-        c = model.base_c[:a] + b
+        r >>= U(BITS)
+        want = np.minimum(behind // r, most).astype(np.int16)
+        b = own = np.add.reduce((model.upper[:, :a] <= want).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
+        if len(hit2) + len(hit1):
+            hit, own = np.concatenate([hit2, hit1]), b.copy()
+            own[hit] = NAMED
+        c = model.base_c[:a] + own
         first = model.cum.take(c)
-        width = model.cum.take(c + 1) - first
-        within = WIDTH.take(b).view(U)
-        for h in (hit2, hit1):
-            if len(h):
-                first[h], width[h], within[h] = 0, 1, 1
-        behind -= r * first
+        c += 1
+        width = model.cum.take(c)
+        width -= first
+        first *= r
+        behind -= first
         r *= width
-        r //= within
+        r >>= WIDTH_BITS.take(own)
         off = behind // r
-        for h in (hit2, hit1):
-            off[h] = 0
-        behind -= r * off
-        x = FIRST.take(b) + off.view(np.int64)
-        x[hit2], x[hit1] = model.e2[hit2] >> 2, model.e1[hit1] >> 2
-        for h in (hit2, hit1):
-            b[h] = RANGE_OF.take(x[h])
+        x = FIRST.take(own) + off.view(np.int64)
+        if len(hit2) + len(hit1):
+            off[hit] = 0
+            x[hit2], x[hit1] = model.e2[hit2] >> 2, model.e1[hit1] >> 2
+            b[hit] = RANGE_OF.take(x[hit])
+        named = x.astype(np.int32) << 2
+        off *= r
+        behind -= off
         span[:a] = r
-        grid[t, :a] = x
-        at = np.flatnonzero(r < _LOW_RANGE)
-        while len(at):
-            ahead[at] = ahead[at] << U(16) | flat[row[at] + pos[at]]
-            pos[at] += 1
-            sp = span[at] << U(16)
-            span[at] = sp
-            at = at[sp < _LOW_RANGE]
-        model.learn(a, x, b, hit2, hit1)
-    return np.concatenate([grid[:n, i] for i, n in enumerate(sizes.tolist())])
+        turned[t % REBUILD, :a] = x
+        if t % REBUILD == REBUILD - 1 or t == longest - 1:
+            rows[:, t - t % REBUILD : t + 1] = turned[: t % REBUILD + 1].T
+        at = np.flatnonzero(r < _LOW)
+        if len(at):
+            span[at] = r[at] << U(32)
+            p = pos[at]
+            ahead[at] = ahead[at] << U(32) | flat[row[at] + p]
+            pos[at] = p + 1
+        model.learn(a, x, named, b, is2, is1)
+    return np.concatenate([rows[i, :n] for i, n in enumerate(sizes.tolist())])
 
 
 def _block_sizes(n: int) -> np.ndarray:
@@ -327,7 +354,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, m
 
             for pdf in batches:
                 texts = pdf["text"].fillna("").tolist()
-                for s in slices(texts):
+                for s in slices(texts, 1 << 17):  # so that its arrays stay in the cache
                     got, n = tok.batch(texts[s])
                     got = np.insert(got, np.cumsum(n), np.uint16(end_id))
                     keys += [None if z else d for d, z in zip(pdf["doc_id"].iloc[s].tolist(), pdf["no_id"].iloc[s].tolist())]

@@ -29,12 +29,8 @@ def char_classes() -> np.ndarray:
     global _classes
     if _classes is None:
         kind = np.full(0x110000, OTHER, np.uint8)
-        for cp in range(0x110000):
-            c = unicodedata.category(chr(cp))[0]
-            if c == "L":
-                kind[cp] = LETTER
-            elif c == "N":
-                kind[cp] = NUMBER
+        first = np.frombuffer("".join(map(unicodedata.category, map(chr, range(0x110000)))).encode(), np.uint8)[::2]
+        kind[first == ord("L")], kind[first == ord("N")] = LETTER, NUMBER
         kind[_WHITE] = SPACE
         _classes = kind
     return _classes
@@ -229,7 +225,8 @@ class WordTokenizer:
 
     def _learn(self, words: list[str], a: np.ndarray, b: np.ndarray) -> None:
         tokenize, shown = self.library.model.tokenize, _BYTE_CHARS
-        got = [[t.id for t in tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(shown))] for w in words]
+        seen = [w.replace(" ", "\u0120") if w.isascii() and w.isprintable() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(shown) for w in words]
+        got = [[t.id for t in tokenize(w)] for w in seen]
         size = np.fromiter(map(len, got), np.int32, len(got))
         flat = np.fromiter((x for ids in got for x in ids), np.uint16, int(size.sum()))
         for name, need in (("offset", self.n_words + len(got)), ("size", self.n_words + len(got)), ("ids", self.n_ids + len(flat))):
