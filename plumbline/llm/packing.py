@@ -1,15 +1,18 @@
 """Best-fit packing of documents into token sequences, with a certified bound.
 
 Documents are tokenized and only those longer than a sequence are cut. Pieces
-are spread evenly over partitions; each partition packs by best fit, longest
-first. Dual feasible functions bound from below how many sequences the pieces
-of all partitions need. While there are more than that, partitions exchange:
-each releases its loosest sequences, those that hold nine tenths of its spare
-room; what is released is spread over fewer partitions and packed again, until
-the bound is met or one partition holds all of it. ``certificate`` gives the
-sequences of a result and their bound.
-
-Null texts are empty documents (the end id alone). Repeated rows are documents
+are spread evenly over partitions; each packs by best fit, longest first, and
+dual feasible functions bound from below how many sequences its pieces need: a
+certificate of the partition's count. What the certificate leaves open is
+exchanged: a partition releases its loosest sequences, as many as have room for
+the sequences over its bound, with some more to match them, and for the part of
+one that rounding hides; room that the bound proves to be lost stays. Released pieces are spread over at most half as
+many partitions and packed again, until all sequences together meet the bound of
+all pieces, nothing is released, or one partition held the rest. ``certified``
+gives all certificates too, ``certificate`` checks any result.
+
+Null texts are empty documents (the end id alone). Texts of any length are
+tokenized whole. Pieces of one length go in order of id, those of null ids last. Repeated rows are documents
 of their own. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -40,7 +43,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
             key = list(zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist()))
-            for part in slices(texts):
+            for part in slices(texts, 1 << 17):  # so that its arrays stay in the cache
                 ids, count = tok.batch(texts[part])
                 ids = ids.astype("<u4")
                 rows, at = [], 0
@@ -112,9 +115,25 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return at, offset, np.asarray(room, np.int64)
 
 
-def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool, share: float = 0.9) -> DataFrame:
-    """One round: pieces with their place; those with ``kept`` false are released.
-    ``bins`` and ``kept_bins`` stand once for each partition, else they are 0."""
+def releasable(room: np.ndarray, bound: int, total: int, capacity: int, partners: int = 4) -> np.ndarray:
+    """Which sequences of a partition an exchange may improve: the loosest ones,
+    until they have room for what can be saved. That is the sequences over the
+    bound, ``partners`` times, so that pieces of other lengths come along, and less
+    than one more, which rounding the bound up to whole sequences may hide. Room
+    that the bound proves to be lost isn't counted."""
+    freed = np.zeros(len(room), bool)
+    can = partners * (len(room) - bound) * capacity + min(bound * capacity - total, capacity - 1)
+    if can > 0:
+        loose = np.argsort(-room, kind="stable")
+        upto = int(np.searchsorted(np.cumsum(room[loose]), can)) + 1
+        freed[loose[:upto]] = room[loose[:upto]] > 0
+    return freed
+
+
+def _pack(pieces: DataFrame, parts: int, capacity: int, step: int) -> DataFrame:
+    """One round: pieces with their place, and ``loose`` where the sequence would be
+    released. A partition's certificate (``bins``, ``bound`` and ``kept_bins``)
+    stands in its first row; in the others these are null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
@@ -125,20 +144,16 @@ def _pack(pieces: DataFrame, parts: int, capacity: int, step: int, last: bool, s
         pdf = pdf.sort_values(["no_id", "doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         size = pdf["length"].to_numpy()
         at, offset, room = best_fit_decreasing(size, capacity)
-        gap = int(room.sum())  # in tokens: what an exchange with other partitions can save at most
-        freed = np.zeros(len(room), bool)
-        if gap > 0 and not last:
-            loose = np.argsort(-room, kind="stable")
-            upto = int(np.searchsorted(np.cumsum(room[loose]), share * gap)) + 1
-            freed[loose[:upto]] = room[loose[:upto]] > 0
+        bound = dual_feasible_bound(size, capacity)
+        freed = releasable(room, bound, int(size.sum()), capacity)
         part = TaskContext.get().partitionId()
         pdf["sequence_id"] = (np.int64(step) << 56) + (np.int64(part) << 32) + at
-        pdf["offset"], pdf["kept"] = offset, ~freed[at]
-        pdf["bins"] = pdf["kept_bins"] = np.int64(0)
-        pdf.loc[0, ["bins", "kept_bins"]] = len(room), int((~freed).sum())
+        pdf["offset"], pdf["loose"] = offset, freed[at]
+        for name, value in (("bins", len(room)), ("bound", bound), ("kept_bins", int((~freed).sum()))):
+            pdf[name] = pd.array([value] + [None] * (len(pdf) - 1), "Int64")
         yield pdf
 
-    return pieces.repartition(parts).mapInPandas(run, f"{PIECES}, sequence_id long, offset long, kept boolean, bins long, kept_bins long")
+    return pieces.repartition(parts).mapInPandas(run, f"{PIECES}, sequence_id long, offset long, loose boolean, bins long, bound long, kept_bins long")
 
 
 def _bound(pieces: DataFrame, capacity: int) -> int:
@@ -152,31 +167,31 @@ def certificate(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
     return packed.select("sequence_id").distinct().count(), _bound(packed, capacity)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, part_pieces: int = 60_000, rounds: int = 6) -> DataFrame:
-    """Every piece of every document with its sequence and its offset there.
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, part_pieces: int = 60_000) -> DataFrame:
+    """Every piece of every document with its sequence and its offset there."""
+    return certified(docs, tokenizer, end_id, capacity, part_pieces)[0]
+
+
+def certified(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, part_pieces: int = 60_000) -> tuple[DataFrame, DataFrame]:
+    """What ``pack`` gives, and the certificates of all partitions of all rounds:
+    (round, part, bins, bound, kept_bins).
 
-    ``part_pieces`` bounds what one task packs; ``rounds`` bounds the exchanges.
-    """
+    A task packs about ``part_pieces`` pieces. Each round at least halves the
+    partitions, so the exchange ends."""
     spark = docs.sparkSession
     folder = common.shared_dir(spark)
     left = common.written(spark, token_pieces(docs, tokenizer, end_id, capacity), f"{folder}/pieces")
-    done: DataFrame | None = None
-    bound, full = _bound(left, capacity), 0
-    for step in range(rounds):
-        n = left.count()
-        parts = max(1, math.ceil(n / part_pieces))
-        if step > rounds - 3:  # towards the end the rest comes together
-            parts = max(1, math.ceil(n / (4 * part_pieces)))
-        last = step == rounds - 1 or parts == 1
-        packed = common.written(spark, _pack(left, parts, capacity, step, last), f"{folder}/round{step}")
-        bins, kept_bins = packed.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum("kept_bins"), F.lit(0))).first()
-        last = last or full + bins <= bound  # no packing has fewer
-        full += kept_bins
-        kept = (packed if last else packed.where("kept")).drop("kept", "bins", "kept_bins")
-        done = kept if done is None else done.unionByName(kept)
+    bound, full, step = _bound(left, capacity), 0, 0
+    parts = max(1, math.ceil(left.count() / part_pieces))
+    done = proofs = None
+    while True:
+        packed = common.written(spark, _pack(left, parts, capacity, step), f"{folder}/round{step}")
+        bins, kept_bins, loose = packed.agg(F.coalesce(F.sum("bins"), F.lit(0)), F.coalesce(F.sum("kept_bins"), F.lit(0)), F.count_if("loose")).first()
+        last = parts == 1 or not loose or full + bins <= bound  # no packing of all pieces has fewer
+        proof = packed.where("bins is not null").select(F.lit(step).alias("round"), F.shiftright(F.col("sequence_id"), 32).bitwiseAND((1 << 24) - 1).cast("int").alias("part"), "bins", "bound", F.col("bins" if last else "kept_bins").alias("kept_bins"))
+        kept = common.unmarked((packed if last else packed.where("not loose")).drop("loose", "bins", "bound", "kept_bins"))
+        done, proofs = (kept, proof) if done is None else (done.unionByName(kept), proofs.unionByName(proof))
         if last:
-            break
-        left = packed.where("not kept").select("doc_id", "no_id", "piece", "start", "length", "ids_crc32")
-        if not left.head(1):
-            break
-    return common.unmarked(done)
+            return done, proofs
+        left = packed.where("loose").select(*left.columns)
+        full, step, parts = full + kept_bins, step + 1, max(1, min(math.ceil(loose / part_pieces), parts // 2))

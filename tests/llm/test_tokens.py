@@ -164,6 +164,20 @@ def test_packing_stops_at_the_bound(spark):
     assert got.where("sequence_id >= 1L << 56").count() == 0  # nothing is left to exchange
 
 
+def test_certificates_decide_what_is_exchanged(spark):
+    room = np.array([5, 5, 5, 5])  # four pieces of 7 in sequences of 12
+    assert packing.dual_feasible_bound(np.full(4, 7), 12) == 4
+    assert packing.releasable(room, 4, 28, 12).sum() == 3  # certified: what rounding may hide, under one sequence
+    assert packing.releasable(room, 3, 28, 12).sum() == 4  # by the plain sum one could be saved: all go
+    rng = np.random.default_rng(4)
+    docs = spark.createDataFrame([(i, "word " * int(n)) for i, n in enumerate(rng.integers(1, 200, 3000))], "doc_id long, text string")
+    got, proofs = packing.certified(docs, WORD, capacity=256, part_pieces=200)
+    p = proofs.toPandas()
+    assert (p["bins"] >= p["bound"]).all() and p["round"].max() > 0 and not p[["round", "part"]].duplicated().any()
+    bins, bound = packing.certificate(got, 256)
+    assert p["kept_bins"].sum() == bins <= bound + p["round"].eq(0).sum()
+
+
 def test_packing_places_every_token_once(odd_docs, none):
     want = library(WORD)
     got = packing.pack(odd_docs, WORD, capacity=512, part_pieces=5).toPandas()
