@@ -15,9 +15,13 @@ LEAST_SCORE = 0.3
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language the network knows (op 10); trained on those of
-    them that aren't held out."""
+    them that aren't held out. Where these teach none, only documents without a
+    letter go."""
+    net = langid.fit(docs)
+    if net is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     hidden, restored = common.aside(docs)
-    scored = langid.identify(hidden, langid.fit(docs))
+    scored = langid.identify(hidden, net)
     return restored(scored.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
@@ -28,9 +32,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (op 6), by five-word
-    shingles and a similarity of 0.8; rows without an id take no part and stay."""
+    shingles and a similarity of 0.8; rows without an id take no part and stay.
+    Rows of one id are one document: of equal texts one row stays, unlike texts
+    under the id that stays are all kept, so no text is lost."""
     kept = neardup.near_duplicates(docs.select("doc_id", "text"), words=5, percent=80).where("kept").select("doc_id")
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where("doc_id is null"))
 
 
