@@ -3,7 +3,7 @@
 A record's key is the hash of its text, then its id, so equal texts are
 neighbours. A sample of keys, drawn with odds in proportion to size, gives
 quantile boundaries of many fine ranges; records are range-partitioned by
-them. A range that got far more than its share is subdivided by a second hash.
+them. A range that got far more than its share is subdivided by a hash of id and row.
 The exact bytes before each range then place every record, and every group of
 equal texts, on the line of all bytes, and 16 equal stretches of that line are
 the shards. Law ``bytes``: sizes near equal.
@@ -11,7 +11,7 @@ the shards. Law ``bytes``: sizes near equal.
 A group of equal texts stays in one shard unless it is larger than ``whole``
 of a shard's share; then its records are placed one by one.
 
-Null texts have size 1 and form one group. Null ids come first in their group.
+Texts of any length are one record each. Null texts have size 1 and form one group. Null ids come first in their group.
 Repeated rows stay apart. An empty table gives no rows; other columns are ignored.
 """
 
@@ -38,6 +38,7 @@ def shard(docs: DataFrame, shards: int = 16, range_rows: int = 100_000, most_ran
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(common.text_bytes()).alias("text_crc32"),
         F.coalesce(F.xxhash64(F.col("text")), F.lit(0)).alias("k1"),
+        F.monotonically_increasing_id().alias("row"),  # kept by the written table
     )
     keys = common.written(spark, keys, f"{common.shared_dir(spark)}/keys")
     total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -52,12 +53,12 @@ def shard(docs: DataFrame, shards: int = 16, range_rows: int = 100_000, most_ran
     splitters = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
     fine = keys.withColumn("range", _range_of(F.col("k1"), splitters))
 
-    # an overfull range is subdivided: by text, and a text that overfills its part by id as well
+    # an overfull range is subdivided by id and row, so repeated rows spread too
     per = fine.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > 4 * total / ranges).collect()
     parts = {r["range"]: min(4096, int(r["bytes"] * ranges / total) + 1) for r in per}
     many = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("range")), F.lit(1)) if parts else F.lit(1)
     group_w = Window.partitionBy("k1", "text_crc32", "part0")
-    sub = fine.withColumn("part0", F.pmod(F.xxhash64("doc_id", F.lit(11)), many.cast("long")))
+    sub = fine.withColumn("part0", F.pmod(F.xxhash64("doc_id", "row", F.lit(11)), many.cast("long")))
 
     # bytes of each text's group, so that it can stay whole
     groups = sub.groupBy("range", "k1", "text_crc32", "part0").agg(F.sum("size").alias("g_bytes"), F.count("*").alias("g_rows"))
