@@ -9,8 +9,10 @@ are measured exactly, the tables' candidates are merged and ranked.
 Width, number of projections and number of probes are fitted on a bounded
 sample so that recall there reaches ``target``; every row is indexed. Equal
 vectors are indexed once with their smallest ids, and a bucket of many vectors
-is measured in blocks. A query that finds fewer rows than it must return is
-measured against all rows, in blocks.
+or queries is measured in blocks of both. A query that finds fewer rows than it
+must return is measured against all rows, in blocks, and so are all queries
+where no width and number of probes reach ``target`` on the sample. Ties go to
+the smaller id.
 
 Vectors that are null, zero, hold null or non-finite components, or have another
 length than most take no part, nor have rows with a null id. Repeated rows count
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import common
 
-BLOCK, PER_TABLE = 4096, 300
+BLOCK, ASKS, PER_TABLE = 4096, 1024, 300
 
 
 @dataclass
@@ -102,10 +104,11 @@ def make_index(dim: int, scale: float, tables: int, m: int, seed: int = 23) -> I
     return Index(planes, rng.random((tables, m)), rng.integers(0, 2**63, (tables, m), dtype=np.uint64) | np.uint64(1), perturbations(m, PER_TABLE))
 
 
-def fit(sample: np.ndarray, n: int, k: int, tables: int, target: float) -> Index:
+def fit(sample: np.ndarray, n: int, k: int, tables: int, target: float) -> Index | None:
     """An index for ``n`` rows whose number of probes reaches ``target`` recall
-    among the sample; fewer projections where no number does. The sample's
-    neighbours are farther away than those among all rows, so this errs upwards."""
+    among the sample; fewer projections where no number does, and no index where
+    one projection doesn't. The sample's neighbours are farther away than those
+    among all rows, so this errs upwards."""
     rng = np.random.default_rng(29)
     scale = float(np.sqrt(((sample - sample.mean(axis=0)) ** 2).sum(axis=1).mean()))
     if scale == 0:
@@ -128,12 +131,35 @@ def fit(sample: np.ndarray, n: int, k: int, tables: int, target: float) -> Index
             for j, c in enumerate(near.tolist()):
                 first[i, j] = min((rank[b] for b in own[c].tolist() if b in rank), default=probed.shape[1])
         at = int(np.sort(first.ravel())[min(first.size - 1, math.ceil(target * first.size) - 1)])
-        if at < probed.shape[1] or m == 1:
+        if at < probed.shape[1]:
             index.probes = min(probed.shape[1], at + 1 + at // 8)
             return index
+        if m == 1:
+            return None
         m -= 1
 
 
+def _blocked(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """Rows and queries (bucket, id, low, vec) for ``_measured``: of a large bucket,
+    about BLOCK rows meet about ASKS queries at a time, each pair of blocks once."""
+
+    def parts(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / most).cast("long").alias(name))
+
+    large = parts(rows, BLOCK, "of_rows").join(parts(asks, ASKS, "of_asks"), "bucket", "full_outer")
+    one = F.lit(1).cast("long")
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def cut(df: DataFrame, own: str, others: str, is_ask: bool) -> DataFrame:
+        df = df.join(large, "bucket", "left").withColumns({n: F.coalesce(n, one) for n in ("of_rows", "of_asks")})
+        df = df.withColumn("own", number(own)).withColumn("other", each(others))
+        block = (F.col("other") if is_ask else F.col("own")) * F.col("of_asks") + (F.col("own") if is_ask else F.col("other"))
+        return df.select("bucket", block.alias("block"), F.lit(is_ask).alias("asks"), "id", "low", "vec")
+
+    return cut(rows, "of_rows", "of_asks", False).unionByName(cut(asks, "of_asks", "of_rows", True))
+
+
 def _measured(rows: DataFrame, keep: int) -> DataFrame:
     """Of rows (bucket, block, asks, id, low, vec) in order of bucket and block,
     queries first: each query's ``keep`` nearest vectors of the group."""
@@ -217,34 +243,28 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, tables: int = 8, t
                 keys = index.probed(x, index.probes) if asks else index.buckets(x)
                 yield pd.DataFrame({"id": part["id"], "low": part["low"], "vec": [r.tobytes() for r in x], "keys": list(keys)})
 
-    kind = "id long, low long, vec binary, keys array<long>"
-    rows = _packed(groups.select(F.col("gid").alias("id"), "low", "v").mapInPandas(lambda b: hashed(b, False), kind), "id", "low", "keys")
-    asks = _packed(queries.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("low"), "v").mapInPandas(lambda b: hashed(b, True), kind), "id", "low", "keys").distinct()
-    rows = common.written(spark, rows, f"{folder}/rows")
-    # buckets of many vectors are cut into blocks; their queries go to each
-    large = rows.groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
-    rows = rows.join(large, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).drop("blocks")
-    asks = asks.join(large, "bucket", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
-    both = rows.withColumn("asks", F.lit(False)).unionByName(asks.withColumn("asks", F.lit(True)))
-    found = common.written(spark, _ranked(_measured(both, k + 1), groups, k), f"{folder}/found")
-
-    # whoever found too few is measured against all rows
+    def as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(bucket=0, vec=[np.asarray(x, np.float64).tobytes() for x in pdf["v"]])[["bucket", "id", "low", "vec"]]
+
     need = min(k, max(0, v.select("vec_id").limit(k + 1).count() - 1))
-    enough = found.groupBy("query_id").count().where(F.col("count") >= need).select(F.col("query_id").alias("vec_id"))
-    short = queries.join(enough, "vec_id", "left_anti")
-    if need and short.head(1):
-        blocks = max(1, math.ceil(n / BLOCK))
-        rows = groups.select(F.pmod(F.xxhash64("gid"), F.lit(blocks)).alias("bucket"), F.col("gid").alias("id"), "low", "v", F.lit(False).alias("asks"))
-        asks = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("bucket"), F.col("vec_id").alias("id"), F.col("vec_id").alias("low"), "v", F.lit(True).alias("asks"))
-
-        def as_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pdf.assign(vec=[np.asarray(x, np.float64).tobytes() for x in pdf["v"]], block=0)[["bucket", "block", "asks", "id", "low", "vec"]]
-
-        both = rows.unionByName(asks).mapInPandas(as_bytes, "bucket long, block long, asks boolean, id long, low long, vec binary")
-        exact = _ranked(_measured(both, k + 1), groups, k)
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
-    return found
+    own = groups.select(F.col("gid").alias("id"), "low", "v")
+    found, short = None, queries
+    if index is not None:
+        kind = "id long, low long, vec binary, keys array<long>"
+        rows = _packed(own.mapInPandas(lambda b: hashed(b, False), kind), "id", "low", "keys")
+        asks = _packed(queries.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("low"), "v").mapInPandas(lambda b: hashed(b, True), kind), "id", "low", "keys").distinct()
+        both = _blocked(common.written(spark, rows, f"{folder}/rows"), common.written(spark, asks, f"{folder}/asks"))
+        found = common.written(spark, _ranked(_measured(both, k + 1), groups, k), f"{folder}/found")
+        enough = found.groupBy("query_id").count().where(F.col("count") >= need).select(F.col("query_id").alias("vec_id"))
+        short = queries.join(enough, "vec_id", "left_anti")
+        if not need or not short.head(1):
+            return found
+    # whoever found too few, or all where no index does, is measured against all rows, in blocks
+    kind = "bucket long, id long, low long, vec binary"
+    asks = short.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("low"), "v")
+    exact = _ranked(_measured(_blocked(own.mapInPandas(as_bytes, kind), asks.mapInPandas(as_bytes, kind)), k + 1), groups, k)
+    return exact if found is None else found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(exact)
 
 
 def _ranked(measured: DataFrame, groups: DataFrame, k: int) -> DataFrame:
