@@ -215,7 +215,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                     raise RuntimeError("a left text is missing")
             yield pd.DataFrame(ok, columns=["left", "right"], dtype="int64")
 
-    keyed = pairs.withColumn("block", F.pmod(F.xxhash64("right"), F.lit(1 << 20)) % F.ceil(F.count("*").over(Window.partitionBy("left")) / 64))
+    many = pairs.groupBy("left").agg(F.ceil(F.count("*") / 64).alias("blocks"))
+    keyed = pairs.join(many, "left").withColumn("block", F.pmod(F.xxhash64("right"), F.lit(1 << 20)) % F.col("blocks"))
     rights = keyed.select("left", "block", "right")
     lefts = keyed.select("left", "block").distinct().withColumn("right", F.col("left"))
     rows = lefts.unionByName(rights).join(texts.select(F.col("doc_id").alias("right"), "raw"), "right")
@@ -298,9 +299,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     sets = sets.dropDuplicates(["doc_id"])
 
     # buckets that hold more than one class
-    w = Window.partitionBy("bucket")
     buckets = sets.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = buckets.select("bucket", "doc_id", F.count("*").over(w).alias("n"), F.min("doc_id").over(w).alias("hub")).where("n > 1")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
+    buckets = buckets.join(shared, "bucket").select("bucket", "doc_id", "n", "hub")
     buckets = common.written(spark, buckets, f"{folder}/buckets")
     there = buckets.select("doc_id").distinct()
     sigs = common.written(spark, sets.select("doc_id", "sig").join(there, "doc_id", "left_semi"), f"{folder}/sigs")
