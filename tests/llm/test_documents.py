@@ -94,6 +94,23 @@ def test_neighbours_reach_recall_and_are_exact(spark):
     assert got[got["query_id"] == 100]["vec_id"].tolist() == list(range(2000, 2010))
 
 
+@pytest.mark.parametrize("index", [True, False])
+def test_hot_buckets_and_no_index_are_measured_in_blocks(spark, monkeypatch, index):
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    monkeypatch.setattr(nearest, "ASKS", 3)
+    if not index:
+        monkeypatch.setattr(nearest, "fit", lambda *a: None)
+    x = np.random.default_rng(9).normal(size=(400, 3))
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(x)], "vec_id long, embedding array<double>, id int, v string")
+    got = nearest.search(df, every=20, target=1.0).toPandas()
+    hits = 0
+    for q in range(0, 400, 20):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & set(got[got["query_id"] == q]["vec_id"]))
+    assert len(got) == 200 and hits >= (180 if index else 200)
+
+
 def test_few_vectors_are_all_found(spark):
     t = "vec_id long, embedding array<float>"
     got = nearest.search(spark.createDataFrame([(0, [1.0, 0.0]), (7, [-90.0, 3.0]), (9, [0.0, 500.0])], t)).toPandas()
@@ -230,20 +247,72 @@ def test_resampling_keeps_an_input_that_is_cleaner_than_its_labels(spark):
     assert importance.selected(docs.where("doc_id % 2 = 1 or doc_id >= 1000"), labels).count() == len(want)
 
 
+def test_weights_by_brute_force(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("a bb Ccc 12 , ddd EEE f".split(), k=rng.randint(1, 30))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 30)) for i in range(40)], "doc_id long, quality int")
+    raw, target = (np.ones(importance.BUCKETS) for _ in range(2))
+    for i, t in enumerate(texts):
+        for b in importance.grams([t])[0].tolist():
+            raw[b] += 1
+            target[b] += i < 30
+    ratio = np.zeros(importance.BUCKETS)
+    for a, b in ((0, importance.WORDS), (importance.WORDS, importance.WORDS + importance.PAIRS), (importance.WORDS + importance.PAIRS, importance.BUCKETS)):
+        ratio[a:b] = np.log(target[a:b] / target[a:b].sum() / (raw[a:b] / raw[a:b].sum()))
+    got = {r["doc_id"]: r for r in importance.resample(docs, labels, effective=8.0).collect()}
+    for i, t in enumerate(texts):
+        b = importance.grams([t])[0]
+        assert got[i]["n_grams"] == len(b) and abs(got[i]["log_weight"] - 8 * ratio[b].mean()) < 1e-9
+    # the noise is standard Gumbel: mean 0.577, variance 1.645
+    many = importance.keyed(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit(0.0).alias("log_weight"), F.lit(1).alias("n_grams"))).toPandas()["key"]
+    assert abs(many.mean() - 0.5772) < 0.04 and abs(many.var() - 1.6449) < 0.1
+
+
+def test_pairs_by_brute_force():
+    rng = np.random.default_rng(12)
+    cells = sorted({(int(w), int(a), int(b)) for w, a, b in zip(rng.integers(0, 3, 200), rng.integers(0, 90, 200), rng.integers(0, 256, 200))})
+    own, t, f = (np.array(x) for x in zip(*cells))
+    want = []
+    for i in range(len(cells)):
+        given = 0
+        for j in range(i + 1, min(len(cells), i + 2 * media.FAN_OUT + 1)):
+            dt = t[j] - t[i]
+            if own[i] == own[j] and 1 <= dt <= media.FAR and given < media.FAN_OUT:
+                given += 1
+                want.append((own[i], (t[i] << 32) | (f[i] << 15) | (f[j] << 6) | dt))
+    code, whose = media.pairs(t, f, own)
+    assert list(zip(whose.tolist(), code.tolist())) == sorted((int(a), int(b)) for a, b in want)
+
+
 def test_log_ratios_and_grams():
     b, own = importance.grams(["The cat, the CAT", "", "x x"])
     assert len(b) == 3 * 7 and set(own.tolist()) == {0, 2} and b.max() < importance.BUCKETS
 
 
-def test_pipeline_stages(spark, odd, sf_dir):
+def test_pipeline_stages(spark, odd, none, sf_dir):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    extra = docs.limit(60).withColumn("key", F.lit(1)).withColumn("Score", F.lit("s"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, extra, sf_dir)
-        assert out.columns == extra.columns and 0 < out.count() <= 60
-        assert out.where("key = 1 and Score = 's'").count() == out.count()
+    extra = docs.limit(60).withColumns({c: F.lit(1) for c in ("key", "Score", "kept", "sequence_id", "offset", "component_id", "no_id")})
+    strange = odd.withColumns({"source": F.lit("s"), "n_chars": F.lit(1)})
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (extra, strange, none):
+            out = stage(spark, given, sf_dir)
+            n = out.count()
+            if name == "packing":
+                assert (n >= given.count()) and out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+            else:
+                assert out.columns == given.columns and n <= given.count() and (n or given is none)
+                if given is extra:
+                    assert out.where("key = 1 and Score = 1 and kept = 1").count() == n
     left = {r["doc_id"] for r in corpus_pipeline.language(spark, odd, sf_dir).select("doc_id").collect()}
     assert not left & {0, 1, 4}
     run = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert run.groupby("sequence_id")["length"].sum().max() <= 4096 and run["doc_id"].nunique() < docs.count()
+
+
+def test_near_duplicates_keep_unlike_texts_of_one_id(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(1, "a b c d e f g"), (1, "h i j k l m n o"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
