@@ -205,7 +205,7 @@ def _impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("screen_impact", graph_sql("select 'screen:' || c_nationkey screen, count(distinct t) tables, max(least(touch.r, 3)) rank from touch join customer on c = c_custkey group by all"))
 def _screen_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables below every screen, the screens walked as sources."""
+    """Tables below every screen, through the endpoints that it calls."""
     s = Star(spark, sf_dir)
     t = _touches(spark, sf_dir).join(s.calls_http().select(F.col("dst").alias("endpoint"), F.col("src").alias("screen"), F.col("rank").alias("call_rank")), "endpoint")
     return t.groupBy("screen").agg(F.countDistinct("table").alias("tables"), F.max(F.least("rank", "call_rank")).cast("int").alias("rank"))
@@ -248,13 +248,11 @@ def _column_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.column_usage(Star(spark, sf_dir).column_access())
 
 
-@query("column_impact", graph_sql(" select distinct 'statement:' || o || '-' || n statement, k access from cols where t = 1 and p % 50 = 1"))
+@query("column_impact", graph_sql(" select distinct 'column:' || t || '.' || p \"column\", 'statement:' || o || '-' || n statement, k access from cols where t = 1"))
 def _column_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements that read or write some columns of table 1."""
-    s = Star(spark, sf_dir)
-    part = F.substring_index("dst", ".", -1).cast("long")
-    hit = s.column_access().where(F.col("dst").startswith("column:1.") & (part % 50 == 1))
-    return hit.select(F.col("src").alias("statement"), F.col("type").alias("access")).distinct()
+    """Statements that read or write the columns of table 1, each column apart."""
+    hit = Star(spark, sf_dir).column_access().where(F.col("dst").startswith("column:1."))
+    return hit.select(F.col("dst").alias("column"), F.col("src").alias("statement"), F.col("type").alias("access")).distinct()
 
 
 @query("table_facts", graph_sql(", d as (select t, count(distinct p) columns from cols group by t), g as (select v, count(*) degree from (select x v from joined union all select y from joined) group by v) select 'table:' || t \"table\", columns, coalesce(degree, 0)::bigint degree from d left join g on t = v"))

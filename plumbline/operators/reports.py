@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.walk import multi_walk
@@ -203,3 +203,68 @@ def tables_lane(statements: DataFrame, executes: DataFrame, mode: str) -> DataFr
 def layers(walk: DataFrame) -> DataFrame:
     """Nodes at each distance, by grade."""
     return walk.groupBy("hops").agg(*[F.count_if(F.col("rank") == r).alias(g.lower()) for r, g in sorted(GRADES.items()) if r >= 2])
+
+
+def erd_shape(joins: DataFrame, declares: DataFrame, keys: DataFrame) -> DataFrame:
+    """Relations of tables, the first of each pair, with both ends' numbers of columns
+    and a cardinality: 1 where the end's key (table, pk) is one, N where it isn't."""
+    n = declares.groupBy("src").agg(F.countDistinct("dst").alias("n"))
+    card = F.when(F.col("pk"), "1").when(~F.col("pk"), "N").otherwise("?")
+    k = keys.groupBy("table").agg(F.bool_or("pk").alias("pk")).withColumn("c", card)
+    j = joins.select("src", "dst").distinct()
+    for end in ("src", "dst"):
+        j = j.join(n.select(F.col("src").alias(end), F.col("n").alias(f"{end}_columns")), end, "left").join(k.select(F.col("table").alias(end), F.col("c").alias(f"{end}_c")), end, "left")
+    c = F.concat(F.coalesce("src_c", F.lit("?")), F.lit(":"), F.coalesce("dst_c", F.lit("?")))
+    return j.select("src", "dst", "src_columns", "dst_columns", c.alias("cardinality"))
+
+
+def tables_of_columns(columns: DataFrame, declares: DataFrame) -> DataFrame:
+    """(column, table): the declaring table, else the one that the name says."""
+    d = declares.groupBy(F.col("dst").alias("column")).agg(F.min("src").alias("t"))
+    said = F.concat(F.lit("table:"), F.regexp_extract("column", r"^column:(.*)\.[^.]*$", 1))
+    return columns.join(d, "column", "left").select("column", F.coalesce("t", said).alias("table"))
+
+
+def frontend_callers(calls_http: DataFrame) -> DataFrame:
+    """Distinct resolved callers of each route."""
+    return calls_http.where("rank > 0").groupBy(F.col("dst").alias("endpoint")).agg(F.countDistinct("src").alias("callers"))
+
+
+def folded_others(counts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` largest of (name, n), and one row for all others."""
+    top = counts.orderBy(F.desc("n"), "name").limit(k).select("name", F.lit(True).alias("top"))
+    j = counts.join(F.broadcast(top), "name", "left")  # k rows
+    return j.groupBy(F.when(F.col("top"), F.col("name")).otherwise("(others)").alias("name")).agg(F.sum("n").alias("n"), F.count("*").alias("members"))
+
+
+def _common(a: Column, b: Column) -> Column:
+    """The leading elements that two arrays share."""
+    size = F.least(F.size(a), F.size(b))
+    first = F.array_position(F.zip_with(F.slice(a, 1, size), F.slice(b, 1, size), lambda x, y: x == y), False)
+    return F.slice(a, 1, F.when(first > 0, first - 1).otherwise(size).cast("int"))
+
+
+def descended(items: DataFrame, wide: int, separator: str = "/", lopsided: float = 0.8) -> DataFrame:
+    """(key, grp) of items (key, tokens): down the tree of tokens while the largest
+    branch holds ``lopsided`` of what is left and doesn't fan out over ``wide``
+    branches; the rest of each level are groups. A level costs one row at the driver."""
+    pool, prefix, out = items.select("key", "tokens"), [], None
+    more = lambda rows: rows if out is None else out.unionByName(rows)
+    for level in range(1000):
+        here = F.get("tokens", F.lit(level))
+        out = more(pool.where(here.isNull()).select("key", F.lit(separator.join(prefix) or "(root)").alias("grp")))
+        n, kinds = pool.agg(F.count("*"), F.countDistinct(here)).first()
+        if not kinds:
+            break
+        top = pool.where(here.isNotNull()).groupBy(here.alias("t")).agg(F.count("*").alias("n"), F.countDistinct(F.get("tokens", F.lit(level + 1))).alias("below")).orderBy(F.desc("n"), "t").first()
+        down = top["n"] / n >= lopsided and top["below"] > 0 and (top["below"] <= wide or kinds == 1)
+        rest = pool.where(here.isNotNull() & (here != top["t"]) if down else here.isNotNull()).withColumn("t", here)
+        if down:
+            names = rest.groupBy("t").agg(F.min("tokens").alias("a"), F.max("tokens").alias("b")).select("t", F.array_join(_common(F.col("a"), F.col("b")), separator).alias("grp"))
+            out = more(rest.join(names, "t").select("key", "grp"))
+        else:
+            out = more(rest.select("key", F.col("t").alias("grp")))
+            break
+        prefix.append(top["t"])
+        pool = pool.where(here == top["t"])
+    return out

@@ -204,7 +204,8 @@ def neighborhood(edges: DataFrame, focus: str, hops: int = 1) -> tuple[DataFrame
 def upstream(edges: DataFrame, starts: DataFrame, types: tuple[str, ...] = FLOW_TYPES) -> DataFrame:
     """All nodes from which some start is reached, grades aside (``starts``: node)."""
     e = edges.where(F.col("type").isin(*types)).withColumn("rank", F.lit(4))
-    s = starts.select(F.lit("all").alias("source"), "node")
+    # shards of starts, so that no task searches for all of them
+    s = starts.select(F.pmod(F.xxhash64("node"), F.lit(64)).cast("string").alias("source"), "node")
     return multi_walk(e, s, "strict", backward=True).select("node").distinct()
 
 
@@ -233,15 +234,19 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, most_rounds: in
     return out
 
 
-def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, label): each round a node takes the commonest label around it, the
-    smallest one of several."""
+def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """(node, label): each round all nodes take the commonest label around them, the
+    smallest one of several, until none changes; two that only swap labels would
+    never settle, so ``rounds`` ends that."""
     both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
         w = Window.partitionBy("src").orderBy(F.desc("n"), "label")
-        labels = cut(votes.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("src").alias("node"), "label"))
+        new = cut(votes.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("src").alias("node"), "label"))
+        if new.join(labels, ["node", "label"], "left_anti").isEmpty():
+            break
+        labels = new
     return labels
 
 

@@ -14,7 +14,7 @@ STATEMENTS = "namespace string, id string, type string, sql string, file string,
 KINDS = ("select", "insert", "update", "delete", "procedure", "statement")
 
 
-def _flat(e: ET.Element, parts: dict[str, ET.Element], space: str, seen: tuple[str, ...] = ()) -> str:
+def _flat(e: ET.Element, parts: dict[str, ET.Element], space: str, seen: tuple[str, ...] = (), missing: list[str] | None = None) -> str:
     """The text of an element with all branches of its dynamic tags."""
     out = [e.text or ""]
     for c in e:
@@ -23,11 +23,13 @@ def _flat(e: ET.Element, parts: dict[str, ET.Element], space: str, seen: tuple[s
             ref = c.get("refid", "")
             full = ref if "." in ref else f"{space}.{ref}"
             if full in parts and full not in seen:
-                out.append(_flat(parts[full], parts, space, (*seen, full)))
+                out.append(_flat(parts[full], parts, full.rpartition(".")[0], (*seen, full), missing))
+            elif full not in parts and missing is not None:
+                missing.append(full)
         elif tag == "selectkey" or tag == "bind":
             pass
         else:
-            inner = _flat(c, parts, space, seen)
+            inner = _flat(c, parts, space, seen, missing)
             if tag == "where":
                 inner = " where " + re.sub(r"^\s*(and|or)\b", "", inner, flags=re.I) if inner.strip() else ""
             elif tag == "set":
@@ -41,8 +43,11 @@ def _flat(e: ET.Element, parts: dict[str, ET.Element], space: str, seen: tuple[s
                     if word.strip() and body.lower().endswith(word.strip().lower()):
                         body = body[: -len(word.strip())]
                 inner = f" {c.get('prefix') or ''} {body} {c.get('suffix') or ''} "
-            elif tag == "foreach":
+            elif tag in ("foreach", "iterate"):
                 inner = f"{c.get('open') or ''}{inner}{c.get('close') or ''}"
+            if (word := c.get("prepend")) and inner.strip():
+                # of a dynamic part the first inner word falls away
+                inner = f" {word} " + (re.sub(r"^\s*(and|or|,)(?=\W)", "", inner, flags=re.I) if tag == "dynamic" else inner)
             out.append(inner)
         out.append(c.tail or "")
     return " ".join(out)
@@ -62,19 +67,38 @@ def read_mapper(text: str, file: str, shared: dict[str, ET.Element] | None = Non
     parts = dict(shared or {}) | {f"{space}.{e.get('id')}": e for e in root.iter("sql")}
     for e in root:
         if e.tag.lower() in KINDS:
-            raw = _flat(e, parts, space)
+            missing: list[str] = []
+            raw = _flat(e, parts, space, (), missing)
             subst = bool(re.search(r"\$\{[^}]*\}|\$[A-Za-z_][\w.]*\$", raw))
             sql = re.sub(r"#\{[^}]*\}|#[A-Za-z_][\w.:\[\]]*#", "?", raw)
             sql = re.sub(r"\$\{[^}]*\}|\$[A-Za-z_][\w.]*\$", "__subst__", sql)
-            yield space, e.get("id"), e.tag.lower(), re.sub(r"\s+", " ", sql).strip(), file, subst, None
+            yield space, e.get("id"), e.tag.lower(), re.sub(r"\s+", " ", sql).strip(), file, subst, f"include_not_found: {missing[0]}" if missing else None
 
 
-def mapper_statements(files: DataFrame) -> DataFrame:
-    """Statements of mapper files (path, text), file by file."""
+def fragments(text: str) -> list[tuple[str, str]]:
+    """Names and XML of the fragments that a file offers to others."""
+    try:
+        root = ET.fromstring(re.sub(r"<!DOCTYPE[^>\[]*(\[.*?\])?>", "", text, flags=re.S).encode("utf-8"))
+    except ET.ParseError:
+        return []
+    space = root.get("namespace", "")
+    return [(f"{space}.{e.get('id')}", ET.tostring(e, encoding="unicode")) for e in root.iter("sql")]
+
+
+def mapper_statements(files: DataFrame, most_fragments: int = 200_000) -> DataFrame:
+    """Statements of mapper files (path, text), file by file. The fragments of all
+    files, which are parts of source code, go to every task; over ``most_fragments``
+    are an error."""
+    names = F.udf(fragments, "array<struct<name string, xml string>>")
+    found = files.where(F.col("text").contains("<sql")).select(F.explode(names("text")).alias("f")).select("f.*").limit(most_fragments + 1).collect()
+    if len(found) > most_fragments:
+        raise ValueError(f"there are over {most_fragments} fragments")
+    shared = files.sparkSession.sparkContext.broadcast({r["name"]: r["xml"] for r in sorted(found)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = {k: ET.fromstring(v) for k, v in shared.value.items()}
         for pdf in batches:
-            rows = [r for p, t in zip(pdf["path"], pdf["text"]) for r in read_mapper(t or "", p)]
+            rows = [r for p, t in zip(pdf["path"], pdf["text"]) for r in read_mapper(t or "", p, parts)]
             yield pd.DataFrame(rows, columns=["namespace", "id", "type", "sql", "file", "has_string_subst", "problem"])
 
     return files.select("path", "text").mapInPandas(run, STATEMENTS)

@@ -62,21 +62,36 @@ def _attribute(array: str, key: str) -> Column:
 
 
 def har_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of HAR files: page, method, path, status and time; assets are left out."""
+    """Entries of HAR files, one document each."""
+    return har_documents(spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text")))
+
+
+def har_documents(docs: DataFrame) -> DataFrame:
+    """Entries of HAR documents (text): page, method, path, status and time; assets are
+    left out."""
     request, response = "struct<method string, url string>", "struct<status int, redirectURL string, content struct<mimeType string>>"
     schema = f"log struct<entries array<struct<pageref string, startedDateTime string, request {request}, response {response}>>>"
-    e = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("log.entries").alias("e"))
+    e = docs.select(F.explode(F.from_json("text", schema)["log"]["entries"]).alias("e"))
     url = F.regexp_replace("e.request.url", "^[a-z]+://[^/]+", "")
     rows = e.select(F.col("e.pageref").alias("page"), F.col("e.request.method").alias("method"), F.regexp_replace(url, "[?#].*$", "").alias("path"), F.col("e.response.status").alias("status"), F.to_timestamp("e.startedDateTime").alias("at"))
     return rows.where(~F.lower("path").rlike(r"\.(css|js|png|jpe?g|gif|svg|ico|woff2?|map)$"))
 
 
 def properties(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a .properties or .env file, the last of equal keys."""
-    line = spark.read.text(path).select(F.trim("value").alias("l"), F.monotonically_increasing_id().alias("n")).where("l <> '' and not l rlike '^[#!]'")
-    key = F.regexp_replace(F.trim(F.regexp_extract("l", r"^([^=:]+)[=:]", 1)), r"^export\s+", "")
-    value = F.regexp_replace(F.trim(F.regexp_extract("l", r"^[^=:]+[=:](.*)$", 1)), "^\"(.*)\"$", "$1")
-    return line.select(key.alias("key"), value.alias("value"), "n").where("key <> ''").groupBy("key").agg(F.max_by("value", "n").alias("value"))
+    """(file, key, value) of .properties and .env files, the last of equal keys."""
+    return property_lines(spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.col("value").alias("text")))
+
+
+def property_lines(files: DataFrame) -> DataFrame:
+    """``properties`` of (file, text). A line that ends in an odd number of backslashes
+    goes on; a key ends at =, : or white space; \\ keeps what follows."""
+    text = F.regexp_replace(F.col("text"), r"(?<!\\)((?:\\\\)*)\\\r?\n[ \t\f]*", "$1")
+    line = files.select("file", F.posexplode(F.split(text, r"\r?\n")).alias("n", "raw")).select("file", "n", F.regexp_replace("raw", r"^[ \t\f]+", "").alias("l")).where("l <> '' and not l rlike '^[#!]'")
+    key, rest = r"^(?:export\s+)?((?:\\.|[^=:\s\\])+)", r"^(?:export\s+)?(?:\\.|[^=:\s\\])+[ \t\f]*[=:]?[ \t\f]*(.*)$"
+    plain = lambda c: F.regexp_replace(c, r"\\(.)", "$1")
+    value = F.regexp_replace(F.regexp_extract("l", rest, 1), '^"(.*)"$', "$1")
+    rows = line.select("file", "n", plain(F.regexp_extract("l", key, 1)).alias("key"), plain(value).alias("value")).where("key <> ''")
+    return rows.groupBy("file", "key").agg(F.max_by("value", "n").alias("value"))
 
 
 def openapi_routes(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +115,21 @@ def html_facts(pages: DataFrame) -> DataFrame:
 
 
 def name_status(raw: DataFrame, column: str = "raw") -> DataFrame:
-    """(status, path) of NUL-separated change lists (status, path, status, path ...)."""
+    """(list, seq, status, path, old_path) of NUL-separated change lists (list, raw):
+    a status and a path in turn, of renames and copies (R or C and a number) both."""
+
+    def step(state: Column, part: Column) -> Column:
+        two = state["status"].rlike("^[RC]")
+        row = F.struct(state["status"].alias("status"), part.alias("path"), state["old"].alias("old_path"))
+        none = F.lit(None).cast("string")
+        fresh = F.struct(state["rows"].alias("rows"), part.alias("status"), none.alias("old"))
+        first = F.struct(state["rows"].alias("rows"), state["status"].alias("status"), part.alias("old"))
+        last = F.struct(F.concat(state["rows"], F.array(row)).alias("rows"), none.alias("status"), none.alias("old"))
+        return F.when(state["status"].isNull(), fresh).when(two & state["old"].isNull(), first).otherwise(last)
+
     parts = F.filter(F.split(column, "\u0000"), lambda x: x != "")
-    return raw.select(F.posexplode(parts).alias("i", "part")).select((F.col("i") / 2).cast("int").alias("k"), "i", "part").groupBy("k").agg(F.min_by("part", "i").alias("status"), F.max_by("part", "i").alias("path")).drop("k")
+    empty = F.expr("named_struct('rows', cast(array() as array<struct<status string, path string, old_path string>>), 'status', cast(null as string), 'old', cast(null as string))")
+    if "list" not in raw.columns:  # each row is a list of its own, not told apart
+        raw = raw.withColumn("list", F.lit(None).cast("string"))
+    rows = raw.select("list", F.posexplode(F.aggregate(parts, empty, step)["rows"]).alias("seq", "r"))
+    return rows.select("list", "seq", F.left("r.status", F.lit(1)).alias("status"), "r.path", "r.old_path")

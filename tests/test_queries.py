@@ -10,11 +10,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from plumbline import catalog
-
-#: Queries that walk take long; a few of each kind are held against SQL here, all of them by the driver.
-SOME = ["touches", "coupling_column", "edge_census", "table_usage", "table_facts", "pack_diff", "federation", "golden_score", "drop_gate", "trace_observations", "html_facts", "name_words", "suggest_names", "seeded_sample"]
-
+from plumbline import catalog, feeds, tools  # noqa: F401
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
@@ -35,7 +31,7 @@ def rows(df, columns):
     return sorted(tuple(text(v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_equals_its_sql(spark, duck, sf_dir, name):
     got, want = catalog.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(catalog.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

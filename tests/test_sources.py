@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import names
 from plumbline.operators import answers, compare, traces
 from plumbline.plans import vocab
-from plumbline.sources import pack, readers
+from plumbline.sources import ddl, lineage, mapper, pack, readers
 from plumbline.streaming import traces as stream
 
 
@@ -63,8 +63,9 @@ def test_recordings(spark, tmp_path):
 
 
 def test_changed_files(spark):
-    raw = spark.createDataFrame([("M\0a.sql\0A\0b/c.sql\0",)], "raw string")
-    assert {tuple(r) for r in readers.name_status(raw).collect()} == {("M", "a.sql"), ("A", "b/c.sql")}
+    raw = spark.createDataFrame([("x", "M\0a.sql\0R087\0old.sql\0new.sql\0A\0b/c.sql\0"), ("y", "D\0a.sql\0")], "list string, raw string")
+    got = {tuple(r) for r in readers.name_status(raw).collect()}
+    assert got == {("x", 0, "M", "a.sql", None), ("x", 1, "R", "new.sql", "old.sql"), ("x", 2, "A", "b/c.sql", None), ("y", 0, "D", "a.sql", None)}
 
 
 def test_names(spark):
@@ -103,8 +104,16 @@ def test_pack_round_trip_and_digest(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", "CALLS", 4), ("a", "c", "READS", 3)], "src string, dst string, type string, rank int")
     nodes = spark.createDataFrame([("a", "symbol"), ("b", "symbol")], "id string, kind string")
     d = pack.write_pack(nodes, edges, str(tmp_path / "p"))
-    _, back = pack.read_pack(spark, str(tmp_path / "p"))
-    assert back.count() == 2 and pack.digest(edges.orderBy("dst")) == d and pack.digest(edges.limit(1)) != d
+    own, back = pack.read_pack(spark, str(tmp_path / "p"))
+    assert back.count() == 2 and pack.digest(nodes, edges.orderBy("dst")) == d and pack.digest(nodes, edges.limit(1)) != d
+    assert pack.digest(nodes.where("id = 'a'"), edges) != d  # a swapped node table is seen
+    assert pack.digest(nodes, edges.withColumn("rank", F.lit(None).cast("int"))) != d
+    pack.write_pack(nodes.limit(1), edges, str(tmp_path / "p"))
+    assert pack.read_pack(spark, str(tmp_path / "p"))[0].count() == 1 and pack.read_pack(spark, str(tmp_path / "p"), back=1)[0].count() == 2
+    data = pack.history(spark, str(tmp_path / "p")).first()["data"]
+    nodes.write.mode("overwrite").partitionBy("kind").parquet(f"{data}/nodes")
+    with pytest.raises(ValueError):
+        pack.read_pack(spark, str(tmp_path / "p"))
 
 
 def test_span_ancestors_and_first_key(spark):
@@ -134,3 +143,40 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["hour"]["start"].hour, r["callee"], r["observed"]) for r in spark.table("pairs").collect()}
     want = {(r["h"], r["callee"], r["n"]) for r in df.groupBy(F.hour("ts").alias("h"), "callee").agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_ddl_changes_owners_and_diagnostics(spark):
+    script = """create table s1.t (a int primary key, b varchar(10) not null); # a note
+    create table s2.t (a int); create table u like s1.t;
+    alter table s1.t change b z bigint; alter table s1.t alter column a set default 5; alter table s2.t rename to v;
+    alter table gone add x int; create table w as select * from s1.t; alter table u frobnicate x;"""
+    f = spark.createDataFrame([("s", "1.sql", script)], "schema string, path string, text string")
+    got = {(r["owner"], r["table"], r["column"], r["type"], r["nullable"], r["pk"]) for r in ddl.catalog(f).collect()}
+    assert got == {("s1", "t", "a", "int", False, True), ("s1", "t", "z", "bigint", True, False), ("s2", "v", "a", "int", True, False), ("", "u", "a", "int", False, True), ("", "u", "b", "varchar(10)", False, False)}
+    notes = ddl.diagnostics(f)
+    assert [r["code"] for r in notes.orderBy("code").collect()] == ["action_not_read", "not_read", "table_not_in_catalog"]
+    assert ddl.diagnostic_stats(notes).count() == 3
+
+
+def test_properties_continue_and_split_at_space(spark):
+    text = "# c\n a.b = one \\\n   two\nkey value\nexport X=\"q\"\na\\:b: z\nkey=last\n"
+    f = spark.createDataFrame([("f", text)], "file string, text string")
+    assert {(r["key"], r["value"]) for r in readers.property_lines(f).collect()} == {("a.b", "one two"), ("key", "last"), ("X", "q"), ("a:b", "z")}
+
+
+def test_lineage_scopes():
+    c = {"a": {"x", "k"}, "b": {"p", "q", "k"}, "d": {"z"}}
+    read = lambda q: (lambda f: ({(t, n, w) for t, n, w in f["columns"]}, set(f["unresolved"])))(lineage.read_statement(q, c))
+    assert read("INSERT INTO a(x) SELECT p FROM b") == ({("a", "x", "write"), ("b", "p", "read")}, set())
+    assert read("select p from b where k in (select k from a where x > 1)") == ({("b", "p", "read"), ("b", "k", "read"), ("a", "k", "read"), ("a", "x", "read")}, set())
+    assert read("select nope from b") == (set(), {("column_unknown_in_table", "b.nope")})
+    assert read("update a set x = (select max(q) from b where b.k = a.k) where k = 3")[0] == {("a", "x", "write"), ("a", "k", "read"), ("b", "k", "read"), ("b", "q", "read")}
+    assert read("delete from a where k in (select z from d where x = z)")[0] == {("a", "k", "read"), ("d", "z", "read"), ("a", "x", "read")}
+
+
+def test_mapper_fragments_of_other_files(spark):
+    shared = '<mapper namespace="s"><sql id="cols">a, b</sql></mapper>'
+    own = '<sqlMap namespace="m"><select id="q">select <include refid="s.cols"/> from t <dynamic prepend="where"><isNotNull prepend="and">x = #x#</isNotNull></dynamic><iterate prepend="and id in" open="(" close=")" conjunction=",">#ids[]#</iterate> <include refid="gone"/></select></sqlMap>'
+    f = spark.createDataFrame([("1.xml", shared), ("2.xml", own)], "path string, text string")
+    got = [r for r in mapper.mapper_statements(f).collect() if r["id"]]
+    assert len(got) == 1 and got[0]["sql"] == "select a, b from t where x = ? and id in (?)" and got[0]["problem"] == "include_not_found: m.gone"
