@@ -113,7 +113,7 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def _groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _groups(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > most:

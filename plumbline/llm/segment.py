@@ -371,7 +371,7 @@ def n_best(docs: DataFrame, model: str, n: int = 4, keep_ids: bool = False) -> D
         seg = _open.get((model, n)) or _open.setdefault((model, n), Segmenter(model, n))
         for pdf in batches:
             texts, key = pdf["text"].fillna("").tolist(), list(zip(pdf["doc_id"].tolist(), pdf["no_id"].tolist()))
-            for s in slices(texts):
+            for s in slices(texts, 1 << 20):
                 rows = []
                 for doc, paths in zip(key[s], seg.best(texts[s])):
                     for k, (score, ids, exact) in enumerate(paths, 1):

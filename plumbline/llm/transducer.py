@@ -396,7 +396,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
         counter = _open.get(tokenizer) or _open.setdefault(tokenizer, TokenCounter(tokenizer))
         for pdf in batches:
             texts = pdf["text"].fillna("").tolist()
-            n = np.concatenate([np.zeros(0, np.int64), *(counter.counts(texts[s]) for s in slices(texts))])
+            n = np.concatenate([np.zeros(0, np.int64), *(counter.counts(texts[s]) for s in slices(texts, 1 << 20))])
             yield pdf[["doc_id", "no_id", "n_bytes"]].assign(n_tokens=n, over_limit=n > limit)
 
     common.ship(docs.sparkSession)

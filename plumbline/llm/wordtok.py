@@ -49,7 +49,7 @@ def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
             inverse = pow(base, -1, 1 << 64)
             pair = []
             for b in (base, inverse):
-                p = np.full(max(n, 1 << 20), np.uint64(b))
+                p = np.full(max(n, 1 << 18), np.uint64(b))
                 p[0] = 1
                 pair.append(np.multiply.accumulate(p))
             made.append((pair[0], pair[1]))
@@ -309,7 +309,7 @@ def open_tokenizer(path: str) -> WordTokenizer:
     return _open[path]
 
 
-def slices(texts: list[str], most_chars: int = 1 << 20) -> list[slice]:
+def slices(texts: list[str], most_chars: int = 1 << 18) -> list[slice]:
     """Cut a list of texts so that each part holds few characters, or one text."""
     out, i, n = [], 0, 0
     for j, t in enumerate(texts):
