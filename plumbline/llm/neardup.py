@@ -12,7 +12,9 @@ Within a bucket every class is first held against the smallest one, so hot
 groups cost as many pairs as they have members. Only where a bucket still holds
 several components are pairs across them compared, in blocks of bounded size,
 the most similar of two components first; a pair is never verified twice, and
-the rounds end when no unverified pair across components survives.
+the rounds end when no unverified pair across components survives. Of buckets
+with the same classes one is enough and kept. Components only merge, so the pairs
+across them are found once, and later rounds take what is left of them.
 
 Null texts have no words. Repeated rows are copies. Rows with a null id take no
 part: their component is null and they aren't kept. Rows of one id but unequal
@@ -36,6 +38,7 @@ from plumbline.llm.wordtok import word_hashes
 
 ROWS, BANDS, BATCH, BLOCK = 5, 30, 30, 4096
 N_HASH = ROWS * BANDS
+FILTER_BITS = 25
 _rng = np.random.default_rng(11)
 _A = (_rng.integers(0, 2**31, N_HASH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _rng.integers(0, 2**32, N_HASH, dtype=np.uint32)
@@ -171,6 +174,25 @@ def _named(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("raw")).mapInPandas(run, "doc_id long, name1 long, name2 long, raw binary")
 
 
+def _maybe(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id (a long) is in ``ids``, and few others, so that the
+    exact join that must follow has less to shuffle: a bitmap of ids' hashes, of 4 MB
+    at any size, is sent to every task. Where ids fill it, all rows pass."""
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)) + 1
+    bits = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("_map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("_bits"))
+    keyed = rows.withColumn("_map", F.bitmap_bucket_number(spot)).withColumn("_at", F.bitmap_bit_position(spot).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _at div 8 + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, _at % 8)")) != 0
+    return keyed.join(F.broadcast(bits), "_map").where(hit).select(*rows.columns)
+
+
+def _distinct_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows (bucket, doc_id, n, hub) of one bucket of each set of classes; 128
+    bits stand for a set."""
+    alike = buckets.groupBy("bucket").agg(F.first("n").alias("n"), F.first("hub").alias("hub"), F.bit_xor(F.xxhash64("doc_id")).alias("a"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("b"))
+    return buckets.join(alike.groupBy("n", "hub", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+
+
 def _survive(pairs: DataFrame, sigs: DataFrame, bounds: list[tuple[int, int]]) -> DataFrame:
     """Pairs (left, right) that no batch of their signatures prunes."""
 
@@ -219,6 +241,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     keyed = pairs.join(many, "left").withColumn("block", F.pmod(F.xxhash64("right"), F.lit(1 << 20)) % F.col("blocks"))
     rights = keyed.select("left", "block", "right")
     lefts = keyed.select("left", "block").distinct().withColumn("right", F.col("left"))
+    texts = _maybe(texts, pairs.select(F.explode(F.array("left", "right")).alias("doc_id")))
     rows = lefts.unionByName(rights).join(texts.select(F.col("doc_id").alias("right"), "raw"), "right")
     rows = rows.repartition(common.width(rows.sparkSession), "left", "block").sortWithinPartitions("left", "block", F.col("right") != F.col("left"), "right")
     return rows.select("left", "right", "raw").mapInPandas(run, "left long, right long")
@@ -293,19 +316,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     member = ids.where("n_shingles > 0").select("doc_id", "name1", "name2").distinct().join(classes.select("name1", "name2", "node"), ["name1", "name2"]).select("doc_id", "node")
     member = common.written(spark, member, f"{folder}/member")
     # one row for each class: that of its smallest id
-    sets = ids.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id").select("doc_id", "sig", "bands")
-    if twice is not None:
-        sets = sets.unionByName(ids.join(twice, ["doc_id", "name1", "name2"]).select(F.col("own").alias("doc_id"), "sig", "bands"))
-    sets = sets.dropDuplicates(["doc_id"])
+    def of_classes(rows: DataFrame, col: str) -> DataFrame:
+        sets = rows.join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id").select("doc_id", col)
+        if twice is not None:
+            sets = sets.unionByName(ids.join(twice, ["doc_id", "name1", "name2"]).select(F.col("own").alias("doc_id"), col))
+        return sets.dropDuplicates(["doc_id"])
 
     # buckets that hold more than one class
-    buckets = sets.select("doc_id", F.explode("bands").alias("bucket"))
+    buckets = of_classes(ids, "bands").select("doc_id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")).where("n > 1")
     buckets = buckets.join(shared, "bucket").select("bucket", "doc_id", "n", "hub")
-    buckets = common.written(spark, buckets, f"{folder}/buckets")
-    there = buckets.select("doc_id").distinct()
-    sigs = common.written(spark, sets.select("doc_id", "sig").join(there, "doc_id", "left_semi"), f"{folder}/sigs")
-    raw = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("raw")).join(there, "doc_id", "left_semi")
+    buckets = common.written(spark, buckets, f"{folder}/shared")
+    buckets = common.written(spark, _distinct_buckets(buckets), f"{folder}/buckets")
+    there = common.written(spark, buckets.select("doc_id").distinct(), f"{folder}/there")
+    sigs = common.written(spark, of_classes(_maybe(ids, there), "sig").join(there, "doc_id", "left_semi"), f"{folder}/sigs")
+    raw = _maybe(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), there)
+    raw = raw.select("doc_id", common.text_bytes().alias("raw")).join(there, "doc_id", "left_semi")
     if twice is not None:
         unequal = docs.where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long")).join(same, "doc_id", "left_semi")
         raw = raw.unionByName(_named(unequal, words).join(twice, ["doc_id", "name1", "name2"]).select(F.col("own").alias("doc_id"), "raw").join(there, "doc_id", "left_semi"))
@@ -315,7 +341,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     bounds = _bounds(percent / 100, miss)
     pairs = buckets.where("hub <> doc_id").select(F.col("hub").alias("left"), F.col("doc_id").alias("right")).distinct()
     extra = member.join(same, "doc_id", "left_semi").select(F.col("doc_id").alias("left"), F.col("node").alias("right"))
-    tested = links = None
+    tested = links = cross = None
     for k in range(most_rounds):
         live = common.written(spark, _survive(pairs, sigs, bounds) if k == 0 else pairs, f"{folder}/pairs{k}")
         if k and not live.head(1):
@@ -324,16 +350,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
         tested = live if tested is None else tested.unionByName(live)
         links = good.unionByName(extra) if links is None else links.unionByName(good)
         comp = common.written(spark, components(links, f"{folder}/components{k}"), f"{folder}/component{k}")
-        # buckets that still hold several components
-        inside = buckets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        mixed = inside.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        inside = inside.join(mixed, "bucket", "left_semi")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        own = F.pmod(F.xxhash64("doc_id"), blocks)
-        inside = inside.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        inside = inside.withColumn("part", F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).select("bucket", "part", "doc_id", "component")
-        rows = inside.join(sigs, "doc_id").repartition(common.width(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "component", "doc_id")
-        survivors = _across(rows.select("bucket", "part", "doc_id", "component", "sig"), bounds).distinct().join(tested, ["left", "right"], "left_anti")
+        if cross is None:  # pairs in buckets that hold several components
+            inside = buckets.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+            mixed = inside.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+            inside = inside.join(mixed, "bucket", "left_semi")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+            own = F.pmod(F.xxhash64("doc_id"), blocks)
+            inside = inside.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            inside = inside.withColumn("part", F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).select("bucket", "part", "doc_id", "component")
+            rows = inside.join(sigs, "doc_id").repartition(common.width(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "component", "doc_id")
+            cross = _across(rows.select("bucket", "part", "doc_id", "component", "sig"), bounds).select("left", "right", "same").distinct()
+            cross = common.written(spark, cross, f"{folder}/cross")
+        survivors = cross.join(tested, ["left", "right"], "left_anti")
+        for side, c in (("left", "x"), ("right", "y")):
+            survivors = survivors.join(comp.select(F.col("node").alias(side), F.col("component").alias(c)), side, "left").withColumn(c, F.coalesce(c, side))
+        survivors = survivors.where("x <> y").select("left", "right", "same", F.least("x", "y").alias("c1"), F.greatest("x", "y").alias("c2"))
         w = Window.partitionBy("c1", "c2").orderBy(F.desc("same"), "left", "right")
         pairs = survivors.withColumn("r", F.row_number().over(w)).where(F.col("r") <= 4 * 64**k).select("left", "right")
     else:

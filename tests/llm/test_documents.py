@@ -170,6 +170,42 @@ def test_near_copies_of_both_texts_of_one_id(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1), (5, 5), (6, 5)]
 
 
+def test_near_duplicates_shuffle_no_text_without_a_partner(spark):
+    rng = random.Random(12)
+    hexes = lambda n: " ".join(f"{rng.randrange(1 << 32):08x}" for _ in range(n))
+    docs = [(i, hexes(3000)) for i in range(120)]
+    near = [hexes(200) for _ in range(3)]
+    docs += [(1000 + i, f"{near[i % 3]} {i}") for i in range(12)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wrote = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+        began = wrote()
+        got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=3, percent=85).collect()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        moved = wrote() - began
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i if i < 1000 else 1000 + (i - 1000) % 3 for i, _ in docs}
+    assert moved < sum(len(t) for _, t in docs) / 2
+
+
+def test_bitmap_keeps_all_ids_and_little_else(spark):
+    ids = [-(2**63), -5, 0, 7, 2**62 + 1, *range(10_000, 12_000)]
+    rows = spark.createDataFrame([(i, str(i)) for i in [*ids, *range(20_000, 40_000), 7]], "doc_id long, text string")
+    got = neardup._maybe(rows, spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] in set(ids)) == sorted([*ids, 7]) and all(r["text"] == str(r["doc_id"]) for r in got)
+    assert len(got) < len(ids) + 50
+    assert neardup._maybe(rows, rows.where("false").select("doc_id")).count() == 0
+
+
+def test_buckets_of_the_same_classes_are_held_once(spark):
+    rows = [(b, d) for b, of in {1: (1, 2), 2: (1, 2), 3: (1, 2, 3), 4: (4, 5), 5: (1, 3), 6: (1, 2, 3)}.items() for d in of]
+    many = spark.createDataFrame(rows, "bucket long, doc_id long")
+    many = many.join(many.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub")), "bucket").select("bucket", "doc_id", "n", "hub")
+    got = neardup._distinct_buckets(many).collect()
+    assert sorted((r["bucket"], r["doc_id"]) for r in got) == [(1, 1), (1, 2), (3, 1), (3, 2), (3, 3), (4, 4), (4, 5), (5, 1), (5, 3)]
+
+
 def test_prune_bounds_follow_the_posterior():
     for n in (30, 150):
         m = neardup.least_matches(n, 0.8, 1e-6)
