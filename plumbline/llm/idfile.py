@@ -331,7 +331,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, m
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from plumbline.llm.wordtok import open_tokenizer, slices
 
-        tok = open_tokenizer(tokenizer)
+        tok = open_tokenizer(tokenizer, merged=True)
         part = TaskContext.get().partitionId()
         Path(where).mkdir(parents=True, exist_ok=True)
         path = f"{where}/part-{part:06d}.ids"
@@ -354,7 +354,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, m
 
             for pdf in batches:
                 texts = pdf["text"].fillna("").tolist()
-                for s in slices(texts, 1 << 17):  # so that its arrays stay in the cache
+                for s in slices(texts, 1 << 19):  # so that many new words are merged at once
                     got, n = tok.batch(texts[s])
                     got = np.insert(got, np.cumsum(n), np.uint16(end_id))
                     keys += [None if z else d for d, z in zip(pdf["doc_id"].iloc[s].tolist(), pdf["no_id"].iloc[s].tolist())]

@@ -49,6 +49,28 @@ def test_word_tables_equal_the_library(path):
     assert ids.tolist() == [i for t in ODD for i in want(t)] and n.tolist() == [len(want(t)) for t in ODD]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_merged_words_equal_the_library(path):
+    rng, want = np.random.default_rng(3), library(path)
+    letters = list("aabcdeinorst'.,-0129 ") + list("äßéñ漢👩") + [" the", "ing", "\n"]
+    texts = ODD + ["".join(rng.choice(letters, size=rng.integers(1, 60))) for _ in range(400)] + ["a" * n for n in range(70)] + ["é" * n + " \t" * n for n in range(20)]
+    tok = wordtok.WordTokenizer(path, most_words=500, merged=True)
+    for group in (texts, *([t] for t in texts)):
+        ids, n = tok.batch(group)
+        assert ids.tolist() == [i for t in group for i in want(t)] and n.tolist() == [len(want(t)) for t in group]
+
+
+def test_op4_encodes_short_words_without_the_library():
+    want = library(BYTE)
+    tok = wordtok.open_tokenizer(BYTE, merged=True)
+    known, tok.library = tok.library, None  # any call would raise
+    try:
+        text = "Unheard-of wörds: " + " ".join(f"q{i}zéx" for i in range(3000))
+        assert tok.batch([text])[0].tolist() == want(text)
+    finally:
+        tok.library = known
+
+
 def test_transducer_counts_equal_the_library(spark, odd_docs, none, sf_dir):
     want = library(WORD)
     got = transducer.token_counts(odd_docs, WORD).toPandas()
