@@ -8,8 +8,10 @@ order 0 is a distribution over ranges of ids, learned as it goes, even within a
 range. Shares adapted for every pair of confidences mix the three, and the mixed
 interval drives a range coder with 64-bit state and digits of 32 bits. All
 probabilities are of 12 bits and all ranges powers of two wide, so coding needs
-no division. All blocks of a segment are coded in step, as rows of arrays;
-encoder and decoder run the same integer model, so they can't drift apart.
+no division. An encoder knows all ids, so it computes the intervals of whole
+blocks at once and only the coder goes from id to id; a decoder runs the models
+id by id. Both take all blocks of a segment in step, as rows of arrays, and share
+the integer functions of shares and ranges; tests hold one against the other.
 
 A file: the magic, then segments. A segment: counts (documents, ids, blocks,
 ids a block), doc_ids and whether they are null, ids of each document, bytes
@@ -39,6 +41,7 @@ from plumbline.llm import common
 
 MAGIC = b"PLIDS2\n"
 BLOCK, LANES = 4096, 2048
+TOGETHER = 16  # blocks whose intervals are computed at once, few enough for a processor's cache
 SLOTS2, SLOTS1, REBUILD = 1024, 1024, 64
 NOBODY = 0xFFFF
 U = np.uint64
@@ -50,20 +53,27 @@ def _ranges() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     an id, first id, bits of the width."""
     bits = [4] * 16 + [6] * 12 + [8] * 12 + [10] * 60
     width = 1 << np.array(bits, np.int64)
-    return np.repeat(np.arange(len(width)), width), np.cumsum(width) - width, np.array(bits, np.uint64)
+    return np.repeat(np.arange(len(width), dtype=np.uint8), width), np.cumsum(width) - width, np.array(bits, np.uint64)
 
 
 RANGE_OF, FIRST, WIDTH_BITS = _ranges()
-_LOW = U(1 << 32)
+# constants of the steps, as arrays: these are used with less ado than scalars
+_LOW, _BITS, _FIVE, _DIGIT, _SIXTEEN_U, _LOW16 = (np.full(1, c, U) for c in (1 << 32, BITS, 5, 32, 16, 0xFFFF))
+_ONE, _TWO, _THREE, _FOUR, _SIXTEEN, _SIGN, _MINUS4 = (np.full(1, c, np.int32) for c in (1, 2, 3, 4, 16, 31, -4))
+_MIX1, _MIX2, _SHIFTS = np.full(1, 40503), np.full(1, 30011), np.array([[3], [5]])
+_MASKS = np.array([[SLOTS2 - 1], [SLOTS1 - 1]])
+_FIRST16, _BITS8 = FIRST.astype(np.uint16), WIDTH_BITS.astype(np.uint8)
 N_RANGES = len(FIRST)
 #: Stands for the range of an id that order 1 or order 2 names: all of the interval.
 NAMED = N_RANGES + 1
+_NAMED8 = np.full(1, NAMED, np.uint8)
 FIRST, WIDTH_BITS = np.append(FIRST, [0, 0]), np.append(WIDTH_BITS, np.zeros(2, np.uint64))
 #: Shares of order 2, and of order 1 among the rest, before anything is seen, by
 #: confidence, and between what they stay; the shares seen weigh more from PRIOR ids on.
 _BEGIN, _LEAST, _MOST2, _MOST1, PRIOR = np.array([4, 1250, 2250, 3250]), 4, 4032, 3840, 16
 _CONTEXT = np.arange(32)
 _BEGIN2, _BEGIN1 = _BEGIN[_CONTEXT >> 2 & 3], np.where(_CONTEXT < 16, _BEGIN[_CONTEXT & 3] * 3 // 4 + 1, _LEAST)
+_PRIOR2, _PRIOR1 = (PRIOR * _BEGIN2).astype(np.int32), (PRIOR * _BEGIN1).astype(np.int32)
 
 
 class _Model:
@@ -72,11 +82,11 @@ class _Model:
 
     def __init__(self, lanes: int) -> None:
         row = np.arange(lanes, dtype=np.int64)
-        self.base2, self.base1, self.base_w = row * SLOTS2, row * SLOTS1, row * 32
+        # orders 2 and 1 as two rows, their tables one behind the other
+        self.base, self.base_w = np.stack([row * SLOTS2, lanes * SLOTS2 + row * SLOTS1]), row * 32
         self.base_c, self.base_n = row * (N_RANGES + 3), row * N_RANGES
-        self.t2 = np.full(lanes * SLOTS2, NOBODY << 2, np.int32)
-        self.t1 = np.full(lanes * SLOTS1, NOBODY << 2, np.int32)
-        self.tries = np.zeros((lanes, 32, 3), np.int64)  # by confidences: coded by order 0, 1, 2
+        self.table = np.full(lanes * (SLOTS2 + SLOTS1), NOBODY << 2, np.int32)
+        self.tries = np.zeros((lanes, 32, 3), np.int32)  # by confidences: coded by order 0, 1, 2
         self.upto = np.tile(np.arange(1, N_RANGES + 1, dtype=np.int32), (lanes, 1))  # four for each id seen, and one
         self.lanes, self.seen, self.outcomes = lanes, [], []
         self.id1, self.mixed2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -85,106 +95,203 @@ class _Model:
         """Order 0 and the shares of the orders take in what was seen since they were
         last made; ``t``: ids that each of the first ``a`` rows has seen."""
         if self.seen:
-            self.tries += np.bincount(np.concatenate(self.outcomes), minlength=self.tries.size).reshape(self.tries.shape)
+            self.tries += np.bincount(np.concatenate(self.outcomes), minlength=self.tries.size).astype(np.int32).reshape(self.tries.shape)
             self.outcomes.clear()
             new = np.bincount(np.concatenate(self.seen), minlength=self.lanes * N_RANGES).reshape(self.lanes, N_RANGES)
             self.upto += np.cumsum(new * 4, axis=1, dtype=np.int32)
             self.seen.clear()
         cum = np.zeros((a, N_RANGES + 3), np.int64)
-        # every range keeps a share of at least one
-        upper = self.upto[:a] * np.int32((1 << BITS) - N_RANGES) // np.int32(4 * t + N_RANGES)
-        upper += np.arange(1, N_RANGES + 1, dtype=np.int32)
+        upper = _upper(self.upto[:a], t)
         cum[:, 1 : N_RANGES + 1] = upper
         cum[:, NAMED + 1] = 1 << BITS
-        self.upper = np.ascontiguousarray(upper.astype(np.int16).T)
+        self.upper = np.ascontiguousarray(upper.astype(np.int16).T[:-1])  # what isn't below these is in the last range
         self.cum = cum.ravel().view(U)
-        none, one, two = np.moveaxis(self.tries[:a], 2, 0)
-        q2 = np.clip(((two << BITS) + PRIOR * _BEGIN2) // (none + one + two + PRIOR), _LEAST, _MOST2)
-        q1 = np.clip(((one << BITS) + PRIOR * _BEGIN1) // (none + one + PRIOR), _LEAST, _MOST1)
-        self.upto2 = q2.ravel().view(U)
-        self.upto21 = (q2 + 1 + (((1 << BITS) - 8 - q2) * q1 >> BITS)).ravel().view(U)
+        q2, q21 = _shares(self.tries[:a])
+        self.shares = (q21.ravel().astype(U) << U(16)) | q2.ravel().astype(U)
 
     def look(self, a: int) -> None:
         """What is predicted next: ids with confidences, and their shares."""
-        m = self.id1[:a] * 40503
-        s2 = m + self.mixed2[:a]
-        s2 >>= 3
-        s2 &= SLOTS2 - 1
-        s2 += self.base2[:a]
-        m >>= 5
-        m &= SLOTS1 - 1
-        m += self.base1[:a]
-        self.s1, self.s2 = m, s2
-        e2, e1 = self.t2.take(s2), self.t1.take(m)
-        at = e2 & 3
-        at <<= 2
-        at |= e1 & 3
-        at += ((e2 ^ e1) < 4).view(np.int8) * np.int32(16)
-        self.e2, self.e1 = e2, e1
-        self.at = at = self.base_w[:a] + at
-        self.q2, self.q21 = self.upto2.take(at), self.upto21.take(at)
-
-    def learn(self, a: int, ids: np.ndarray, named: np.ndarray, ranges: np.ndarray, is2: np.ndarray, is1: np.ndarray) -> None:
-        """``named``: the ids as tables hold them; ``is2``, ``is1``: the rows that order
-        2 or order 1 coded."""
+        slots = np.empty((2, a), np.int64)
+        np.multiply(self.id1[:a], _MIX1, out=slots[1])
+        np.add(slots[1], self.mixed2[:a], out=slots[0])
+        slots >>= _SHIFTS
+        slots &= _MASKS
+        slots += self.base[:, :a]
+        self.slots = slots
+        self.e = e = self.table.take(slots)
+        sure = e & _THREE
+        at = sure[0] << _TWO
+        at |= sure[1]
+        at |= ((e[0] ^ e[1]) - _FOUR >> _SIGN) & _SIXTEEN
+        self.sure, self.at = sure, self.base_w[:a] + at
+        shares = self.shares.take(self.at)
+        self.q = np.empty((2, a), U)
+        np.bitwise_and(shares, _LOW16, out=self.q[0])
+        np.right_shift(shares, _SIXTEEN_U, out=self.q[1])
+
+    def learn(self, a: int, ids: np.ndarray, named: np.ndarray, ranges: np.ndarray, coded: np.ndarray) -> None:
+        """``named``: the ids as tables hold them; ``coded``: the order that coded
+        each row."""
         at = self.at * 3
-        at += is1
-        at += is2
-        at += is2
+        at += coded
         self.outcomes.append(at)
         self.seen.append(self.base_n[:a] + ranges)
-        fresh = named | np.int32(1)
-        for table, slot, e in ((self.t2, self.s2, self.e2), (self.t1, self.s1, self.e1)):
-            surer = np.minimum(e + 1, e | 3)
-            table[slot] = np.where((e ^ fresh) < 4, surer, fresh)
-        self.mixed2[:a] = self.id1[:a] * 30011
+        fresh = named | _ONE
+        # how much surer than at first, three at most
+        surer = np.minimum(self.sure, _TWO, out=self.sure)
+        surer &= (self.e ^ fresh) - _FOUR >> _SIGN
+        surer += fresh
+        self.table[self.slots] = surer
+        np.multiply(self.id1[:a], _MIX2, out=self.mixed2[:a])
         self.id1[:a] = ids
 
 
+def _shares(tries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper ends of the intervals of order 2 and of order 1, by confidences, from
+    how many ids each order coded (orders 0, 1, 2 in the last axis)."""
+    none, one, two = np.moveaxis(tries, -1, 0)
+    none = none + one
+    none += np.int32(PRIOR)
+    q1 = np.clip(((one << BITS) + _PRIOR1) // none, _LEAST, _MOST1)
+    none += two
+    q2 = np.clip(((two << BITS) + _PRIOR2) // none, _LEAST, _MOST2)
+    q1 *= np.int32((1 << BITS) - 8) - q2
+    q1 >>= BITS
+    q1 += q2
+    q1 += 1
+    return q2, q1
+
+
+def _upper(upto: np.ndarray, t: int | np.ndarray) -> np.ndarray:
+    """Upper end of each range's interval once ``t`` ids are seen; every range keeps
+    a share of at least one."""
+    upper = upto * np.int32((1 << BITS) - N_RANGES)
+    upper //= np.int32(4) * np.int32(t) + np.int32(N_RANGES)
+    upper += np.arange(1, N_RANGES + 1, dtype=np.int32)
+    return upper
+
+
+def _seen_before(keys: np.ndarray, steps: int, size: int) -> np.ndarray:
+    """How often each of ``size`` keys came before each step; ``keys`` have ``size``
+    for every step before theirs added."""
+    seen = np.bincount(keys.ravel(), minlength=steps * size).reshape(steps, size)
+    upto = np.zeros((steps, size), np.int32)
+    seen = seen.astype(np.int32)
+    for i in range(1, steps):
+        np.add(upto[i - 1], seen[i - 1], out=upto[i])
+    return upto
+
+
+def _entries(slots: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """What a table of ``_Model`` holds at its slot before it learns each id: of the
+    ids that used one slot in turn, the last, and how often it came running."""
+    order = np.argsort(slots, axis=1, kind="stable")
+    order += np.arange(len(slots))[:, None] * slots.shape[1]
+    order = order.ravel()
+    slot, x = slots.ravel().take(order), ids.ravel().take(order)
+    used = np.zeros(len(x), bool)
+    np.equal(slot[1:], slot[:-1], out=used[1:])
+    used[:: slots.shape[1]] = False
+    again = np.zeros(len(x) + 2, np.int8)  # two before the first, which looks back on none
+    again[2:] = used
+    again[3:] &= (x[1:] == x[:-1]).view(np.int8)
+    times = again[1:-2] & again[2:-1]
+    times += again[2:-1]
+    times += np.int8(1)
+    x <<= 2
+    e = np.full(len(x), NOBODY << 2, np.int32)
+    e[1:] = np.where(used[1:], x[:-1] | times, np.int32(NOBODY << 2))
+    out = np.empty(len(x), np.int32)
+    out[order] = e
+    return out.reshape(slots.shape)
+
+
+def _intervals(rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What ``_Model`` predicts for every id of some blocks (a row each), as an
+    encoder knows all ids beforehand: begin and width of the order's interval, of
+    the range's in it, bits of the range's width and the place in the range."""
+    lanes, n = rows.shape
+    steps = n // REBUILD
+    x = rows.astype(np.int32)
+    before = np.zeros((lanes, n + 2), np.int32)
+    before[:, 2:] = x
+    m = before[:, 1:-1].astype(np.uint32) * np.uint32(40503)
+    e1 = _entries((m >> np.uint32(5)).astype(np.uint16) & np.uint16(SLOTS1 - 1), x)
+    m += before[:, :-2].astype(np.uint32) * np.uint32(30011)
+    e2 = _entries((m >> np.uint32(3)).astype(np.uint16) & np.uint16(SLOTS2 - 1), x)
+    named = x << 2
+    is2, is1 = (e2 ^ named) < 4, (e1 ^ named) < 4
+    hit = is2 | is1
+    at = (e2 & 3) << 2
+    at |= e1 & 3
+    at += ((e2 ^ e1) < 4).view(np.int8) << np.int8(4)
+    # a row for each step and block
+    place = np.repeat(np.arange(steps) * lanes + np.arange(lanes)[:, None], REBUILD, axis=1)
+    at = place * 32 + at
+    outcomes = at * 3
+    outcomes += hit.view(np.int8) + is2.view(np.int8)
+    q2, q21 = (q.astype(np.uint16).ravel().take(at) for q in _shares(_seen_before(outcomes, steps, lanes * 96).reshape(-1, 32, 3)))
+    # numbers are chosen by bits, without jumps
+    mask2, mask = (np.negative(m, dtype=np.int16).view(np.uint16) for m in (is2, hit))
+    begin = (q21 ^ (q21 ^ q2) & mask) & ~mask2
+    whole = np.uint16(1 << BITS)
+    part = whole ^ (whole ^ q21) & mask
+    part ^= (part ^ q2) & mask2
+    part -= begin
+    b = RANGE_OF.take(rows)
+    upto = _seen_before(place * N_RANGES + b, steps, lanes * N_RANGES).reshape(steps, lanes, N_RANGES)
+    upto *= 4
+    np.cumsum(upto, axis=2, out=upto)
+    upto += np.arange(1, N_RANGES + 1, dtype=np.int32)
+    cum = np.zeros((steps, lanes, N_RANGES + 1), np.uint16)
+    cum[:, :, 1:] = _upper(upto, np.arange(0, n, REBUILD)[:, None, None])
+    at = place * (N_RANGES + 1) + b
+    first = cum.ravel().take(at)
+    at += 1
+    width = cum.ravel().take(at)
+    width -= first
+    width ^= (width ^ whole) & mask
+    off, bits = rows - _FIRST16.take(b), _BITS8.take(b)
+    np.invert(mask, out=mask)
+    for m in (first, off):
+        m &= mask
+    bits &= mask.astype(np.uint8)
+    return begin, part, first, width, bits, off
+
+
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """Each block's bytes; ``sizes`` of consecutive blocks must not grow."""
+    if len(sizes) > LANES:
+        n = int(sizes[:LANES].sum())
+        return encode_blocks(ids[:n], sizes[:LANES]) + encode_blocks(ids[n:], sizes[LANES:])
     lanes, longest = len(sizes), int(sizes[0])
     start = np.cumsum(sizes) - sizes
-    rows = np.zeros((lanes, longest), np.uint16)
-    for i, (s, n) in enumerate(zip(start.tolist(), sizes.tolist())):
-        rows[i, :n] = ids[s : s + n]
-    model = _Model(lanes)
+    # the intervals of whole steps of REBUILD ids; what lies behind a block's end isn't coded
+    n = -(-max(longest, 1) // REBUILD) * REBUILD
+    rows = np.zeros((min(lanes, TOGETHER), n), np.uint16)
+    model = [np.empty((n // REBUILD, lanes, REBUILD), kind) for kind in (*[np.uint16] * 4, np.uint8, np.uint16)]
+    for i in range(0, lanes, TOGETHER):
+        some = rows[: lanes - i]
+        some[:] = 0
+        for row, s, k in zip(some, start[i:].tolist(), sizes[i:].tolist()):
+            row[:k] = ids[s : s + k]
+        for all_, made in zip(model, _intervals(some)):
+            all_[:, i : i + len(some)] = made.reshape(len(some), -1, REBUILD).swapaxes(0, 1)
     low, span = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     # a digit before the first, at most one for each id, and two after the last
     out, pos = np.zeros((lanes, longest + 4), np.uint32), np.ones(lanes, np.int64)
     flat, row = out.ravel(), np.arange(lanes) * out.shape[1]
-    one, whole = U(1), U(1 << BITS)
+    pos += row
     for t in range(longest):
         a = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
         if t % REBUILD == 0:
-            model.rebuild(a, t)
-            turned = np.ascontiguousarray(rows[:, t : t + REBUILD].T)
-        x = turned[t % REBUILD, :a].astype(np.int64)
-        model.look(a)
-        named = x.astype(np.int32) << 2
-        is2 = (model.e2 ^ named) < 4
-        is1 = (model.e1 ^ named) < 4
-        is1 &= ~is2
-        b = own = RANGE_OF.take(x)
-        off = x - FIRST.take(b)
-        begin, part = model.q21, whole - model.q21
-        hit2, hit1 = np.flatnonzero(is2), np.flatnonzero(is1)
-        if len(hit2) + len(hit1):
-            part[hit2], part[hit1] = model.q2[hit2], (model.q21 - model.q2)[hit1]
-            begin = begin.copy()
-            begin[hit2], begin[hit1] = 0, model.q2[hit1]
-            hit, own = np.concatenate([hit2, hit1]), b.copy()
-            own[hit], off[hit] = NAMED, 0
-        c = model.base_c[:a] + own
-        first = model.cum.take(c)
-        c += 1
-        width = model.cum.take(c)
-        width -= first
-        bits, off = WIDTH_BITS.take(own), off.view(U)
-        r = span[:a] >> U(BITS)
+            turned = [np.ascontiguousarray(m[t // REBUILD].T) for m in model]
+        begin, part, first, width, bits, off = (m[t % REBUILD, :a].astype(U) for m in turned)
+        r = span[:a]
+        r >>= _BITS
         begin *= r
         r *= part
-        r >>= U(BITS)
+        r >>= _BITS
         first *= r
         begin += first
         r *= width
@@ -195,24 +302,22 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         lo += begin
         over = np.flatnonzero(lo < begin)
         if len(over):
-            over = row[over] + pos[over] - 1
+            over = pos[over] - 1
             while len(over):  # a carry goes on where a digit was full
                 flat[over] += np.uint32(1)
                 over = over[flat[over] == 0] - 1
-        at = np.flatnonzero(r < _LOW)
-        span[:a] = r
-        if len(at):
-            span[at] = r[at] << U(32)
-            l2 = lo[at]
-            p = pos[at]
-            flat[row[at] + p] = l2 >> U(32)
-            pos[at] = p + 1
-            lo[at] = l2 << U(32)
-        model.learn(a, x, named, b, is2, is1)
+        # every row's digit is written, and stays where it is full
+        flat[pos[:a]] = lo >> _DIGIT
+        full = r < _LOW
+        bits = full.astype(U) << _FIVE
+        r <<= bits
+        lo <<= bits
+        pos[:a] += full
     for _ in range(2):
-        flat[row + pos] = low >> U(32)
+        flat[pos] = low >> U(32)
         low <<= U(32)
         pos += 1
+    pos -= row
     return [out[i, 1:n].astype(">u4").tobytes() for i, n in enumerate(pos.tolist())]
 
 
@@ -225,31 +330,38 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     model = _Model(lanes)
     span, pos = np.full(lanes, (1 << 64) - 1, U), np.full(lanes, 2, np.int64)
     ahead = data[:, 0].astype(U) << U(32) | data[:, 1]  # the code less the low end
-    flat, row = data.ravel(), np.arange(lanes) * data.shape[1]
+    flat = data.ravel()
+    pos += np.arange(lanes) * data.shape[1]
     rows, turned = np.zeros((lanes, longest), np.uint16), np.zeros((REBUILD, lanes), np.uint16)
-    whole, most = U(1 << BITS), U((1 << BITS) - 1)
+    whole, smaller = np.full(1, 1 << BITS, U), np.empty((N_RANGES - 1, lanes), bool)
     for t in range(longest):
         a = lanes if t < sizes[-1] else int(np.searchsorted(-sizes, -t, "left"))
         if t % REBUILD == 0:
             model.rebuild(a, t)
         model.look(a)
-        behind, r = ahead[:a], span[:a] >> U(BITS)
-        upto2, begin = r * model.q2, r * model.q21
-        is2, is1 = behind < upto2, behind < begin
-        is1 &= ~is2
-        hit2, hit1 = np.flatnonzero(is2), np.flatnonzero(is1)
-        part = whole - model.q21
-        if len(hit2) + len(hit1):
-            part[hit2], part[hit1] = model.q2[hit2], (model.q21 - model.q2)[hit1]
-            begin[hit2], begin[hit1] = 0, upto2[hit1]
+        behind, r = ahead[:a], span[:a] >> _BITS
+        # the rows that order 2 coded, and order 2 or 1: numbers are chosen by bits, without jumps
+        by = behind < r * model.q
+        masks = np.negative(by, dtype=np.int64).view(U)
+        mask2, mask = masks
+        q2, q21 = model.q
+        begin, part = q21 ^ q2, whole ^ q21
+        begin &= mask
+        part &= mask
+        begin ^= q21
+        part ^= whole
+        part ^= (part ^ q2) & mask2
+        begin &= ~mask2
+        part -= begin
+        begin *= r
         behind -= begin
         r *= part
-        r >>= U(BITS)
-        want = np.minimum(behind // r, most).astype(np.int16)
-        b = own = np.add.reduce((model.upper[:, :a] <= want).view(np.uint8), axis=0, dtype=np.uint8).astype(np.int64)
-        if len(hit2) + len(hit1):
-            hit, own = np.concatenate([hit2, hit1]), b.copy()
-            own[hit] = NAMED
+        r >>= _BITS
+        want = (behind // r).astype(np.int16)
+        below = np.less_equal(model.upper[:, :a], want, out=smaller[:, :a]).view(np.uint8)
+        own = np.add.reduce(below, axis=0, dtype=np.uint8)
+        own ^= (own ^ _NAMED8) & mask.astype(np.uint8)
+        own = own.astype(np.int64)
         c = model.base_c[:a] + own
         first = model.cum.take(c)
         c += 1
@@ -260,25 +372,34 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
         r *= width
         r >>= WIDTH_BITS.take(own)
         off = behind // r
-        x = FIRST.take(own) + off.view(np.int64)
-        if len(hit2) + len(hit1):
-            off[hit] = 0
-            x[hit2], x[hit1] = model.e2[hit2] >> 2, model.e1[hit1] >> 2
-            b[hit] = RANGE_OF.take(x[hit])
-        named = x.astype(np.int32) << 2
+        off &= ~mask
+        named = (FIRST.take(own) + off.view(np.int64)).astype(np.int32) << _TWO
+        e2, e1 = model.e
+        small2, small = masks.astype(np.int32)
+        e = e1 ^ e2
+        e &= small2
+        e ^= e1
+        e ^= named
+        e &= small
+        named ^= e
+        named &= _MINUS4
+        x = (named >> _TWO).astype(np.int64)
+        b = RANGE_OF.take(x)
         off *= r
         behind -= off
         span[:a] = r
         turned[t % REBUILD, :a] = x
         if t % REBUILD == REBUILD - 1 or t == longest - 1:
             rows[:, t - t % REBUILD : t + 1] = turned[: t % REBUILD + 1].T
-        at = np.flatnonzero(r < _LOW)
-        if len(at):
-            span[at] = r[at] << U(32)
-            p = pos[at]
-            ahead[at] = ahead[at] << U(32) | flat[row[at] + p]
-            pos[at] = p + 1
-        model.learn(a, x, named, b, is2, is1)
+        full = r < _LOW
+        digit = flat.take(pos[:a]).astype(U)
+        digit &= np.negative(full, dtype=np.int64).view(U)
+        bits = full.astype(U) << _FIVE
+        np.left_shift(r, bits, out=span[:a])
+        behind <<= bits
+        behind |= digit
+        pos[:a] += full
+        model.learn(a, x, named, b, by.view(np.uint8).sum(axis=0, dtype=np.int64))
     return np.concatenate([rows[i, :n] for i, n in enumerate(sizes.tolist())])
 
 
