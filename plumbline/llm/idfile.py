@@ -30,6 +30,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -423,9 +424,18 @@ def write_segment(f, doc_ids: list[int | None], counts: np.ndarray, ids: np.ndar
     f.writelines(blocks)
 
 
-def read_segments(path: str) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """(doc_ids, ids of each document, all ids) of each segment; raises where a
-    checksum is wrong."""
+class _Segment(NamedTuple):
+    path: str
+    doc_ids: list[int | None]
+    counts: np.ndarray
+    sizes: np.ndarray
+    blocks: list[bytes]
+    id_crcs: np.ndarray
+
+
+def _segments(path: str) -> Iterator[_Segment]:
+    """Each segment with its blocks as they are stored; raises where the checksum of
+    a block's bytes is wrong."""
     with open(path, "rb") as f:
         if f.read(len(MAGIC)) != MAGIC:
             raise ValueError(f"{path} isn't a file of token ids")
@@ -434,15 +444,35 @@ def read_segments(path: str) -> Iterator[tuple[list[int | None], np.ndarray, np.
             take = lambda kind, m: np.frombuffer(f.read(np.dtype(kind).itemsize * m), kind)
             doc, null, counts, size, crc, id_crc = take("<i8", docs), take("u1", docs), take("<i8", docs), take("<u4", k), take("<u4", k), take("<u4", k)
             blocks = [f.read(int(s)) for s in size]
-            bad = [i for i, b in enumerate(blocks) if zlib.crc32(b) != crc[i]]
-            sizes = _block_sizes(n)
-            ids = decode_blocks(blocks, sizes) if not bad else None
-            if ids is not None:
-                start = np.cumsum(sizes) - sizes
-                bad = [i for i, (s, m) in enumerate(zip(start.tolist(), sizes.tolist())) if zlib.crc32(ids[s : s + m].astype("<u2").tobytes()) != id_crc[i]]
-            if bad:
+            if bad := [i for i, b in enumerate(blocks) if zlib.crc32(b) != crc[i]]:
                 raise ValueError(f"{path}: wrong checksum in blocks {bad[:5]}")
-            yield [None if z else d for d, z in zip(doc.tolist(), null.tolist())], counts, ids
+            yield _Segment(path, [None if z else d for d, z in zip(doc.tolist(), null.tolist())], counts, _block_sizes(n), blocks, id_crc)
+
+
+def _decoded(segments: list[_Segment]) -> Iterator[np.ndarray]:
+    """All ids of each segment, decoded in step; raises where the checksum of a
+    block's ids is wrong."""
+    sizes = np.concatenate([s.sizes for s in segments])
+    order = np.argsort(-sizes, kind="stable")
+    blocks = [b for s in segments for b in s.blocks]
+    ids = decode_blocks([blocks[i] for i in order.tolist()], sizes[order])
+    start = np.empty(len(sizes), np.int64)
+    start[order] = np.cumsum(sizes[order]) - sizes[order]
+    at = 0
+    for s in segments:
+        rows = [ids[i : i + n] for i, n in zip(start[at : at + len(s.sizes)].tolist(), s.sizes.tolist())]
+        at += len(rows)
+        if bad := [i for i, r in enumerate(rows) if zlib.crc32(r.astype("<u2").tobytes()) != s.id_crcs[i]]:
+            raise ValueError(f"{s.path}: wrong checksum in blocks {bad[:5]}")
+        yield np.concatenate(rows)
+
+
+def read_segments(path: str) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """(doc_ids, ids of each document, all ids) of each segment; raises where a
+    checksum is wrong."""
+    for s in _segments(path):
+        for ids in _decoded([s]):
+            yield s.doc_ids, s.counts, ids
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, most_ids: int = BLOCK * LANES) -> DataFrame:
@@ -501,16 +531,28 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, m
 def read_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from (path, start)."""
 
+    def read(waiting: list[tuple[_Segment, int]]) -> Iterator[pd.DataFrame]:
+        for (s, at), ids in zip(waiting, _decoded([s for s, _ in waiting])):
+            ids = ids.astype("<u4")
+            edge = np.concatenate([[0], np.cumsum(s.counts)])
+            out = pd.DataFrame({"doc_id": np.array([d or 0 for d in s.doc_ids], np.int64), "no_id": [d is None for d in s.doc_ids], "start": at + edge[:-1], "n_tokens": s.counts})
+            out["ids_crc32"] = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            yield out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[tuple[_Segment, int]] = []
+        lanes = 0
         for pdf in batches:
             for path, at in zip(pdf["path"].tolist(), pdf["start"].tolist()):
-                for keys, counts, ids in read_segments(path):
-                    ids = ids.astype("<u4")
-                    edge = np.concatenate([[0], np.cumsum(counts)])
-                    out = pd.DataFrame({"doc_id": np.array([d or 0 for d in keys], np.int64), "no_id": [d is None for d in keys], "start": at + edge[:-1], "n_tokens": counts})
-                    out["ids_crc32"] = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
-                    at += len(ids)
-                    yield out
+                for s in _segments(path):
+                    if waiting and lanes + len(s.blocks) > 2 * LANES:
+                        yield from read(waiting)
+                        waiting, lanes = [], 0
+                    waiting.append((s, at))
+                    lanes += len(s.blocks)
+                    at += int(s.counts.sum())
+        if waiting:
+            yield from read(waiting)
 
     return common.unmarked(files.mapInPandas(run, "doc_id long, no_id boolean, start long, n_tokens long, ids_crc32 long"))
 
@@ -526,4 +568,6 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
         at += r["n_tokens"]
     if not files:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_files(spark.createDataFrame(files, "path string, start long").repartitionByRange(len(files), "start"))
+    # two files a task, which are decoded in step, but no fewer tasks than run at once
+    tasks = max(min(len(files), spark.sparkContext.defaultParallelism), -(-len(files) // 2))
+    return read_files(spark.createDataFrame(files, "path string, start long").repartitionByRange(tasks, "start"))

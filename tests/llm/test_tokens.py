@@ -128,6 +128,18 @@ def test_blocks_round_trip_and_checksums(tmp_path):
         list(idfile.read_segments(str(p)))
 
 
+def test_segments_of_several_files_are_decoded_in_step(tmp_path):
+    segments, want = [], []
+    for i, n in enumerate((9000, 1, 4097, 300)):
+        ids = (np.arange(n) * (i + 3) % 701).astype(np.uint16)
+        with open(tmp_path / f"{i}.ids", "wb") as f:
+            f.write(idfile.MAGIC)
+            idfile.write_segment(f, [i], np.array([n]), ids)
+        segments += idfile._segments(str(tmp_path / f"{i}.ids"))
+        want.append(ids.tolist())
+    assert [x.tolist() for x in idfile._decoded(segments)] == want
+
+
 def test_repeated_ids_are_coded_small():
     ids = np.tile(np.arange(64, dtype=np.uint16), 64)
     assert len(idfile.encode_blocks(ids, np.array([len(ids)]))[0]) < len(ids) // 4
