@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import route_matches
+from plumbline.operators.walk import cut, union_all
+
+
+def _verb(method: Column) -> Column:
+    return F.coalesce(F.nullif(F.upper(method), F.lit("")), F.lit("ANY"))
 
 
 def method_rank(route: Column, call: Column) -> Column:
     """A sound set where both name the same verb, a guess where one names none (ANY,
     empty or null), null where they can't meet."""
-    r, c = (F.coalesce(F.nullif(F.upper(x), F.lit("")), F.lit("ANY")) for x in (route, call))
+    r, c = _verb(route), _verb(call)
     return F.when((r == c) & (r != "ANY"), 3).when((r == "ANY") | (c == "ANY"), 2)
 
 
@@ -34,16 +39,25 @@ def _keys(path: Column, template: bool) -> Column:
 def routes_for(calls: DataFrame, serves: DataFrame) -> DataFrame:
     """For each call (call_id, project, method, path) the best route of every other
     project (server, endpoint, route, rank, exact): the same path before a template,
-    the same verb before any, then the route's path and id in order. Joined on the
-    path, or on segments that must agree, never on all pairs."""
-    s = serves.select(F.col("project").alias("server"), F.col("method").alias("served"), F.col("path").alias("route"), "endpoint")
-    exact = calls.join(s, F.col("path") == F.col("route")).withColumn("exact", F.lit(True))
-    holes = s.where(F.exists(F.split("route", "/"), lambda x: _hole(x) | (x == "**"))).withColumn("key", _keys(F.col("route"), True))
-    keyed = calls.withColumn("key", F.explode(_keys(F.col("path"), False)))
+    the same verb before any, then the route's path and id in order.
+
+    Calls of one project, verb and path have the same answers, and of a project's
+    routes of one verb and path only the first can be one; so unlike kinds are
+    matched, each once, and calls take the answers of their kind. Paths are joined
+    on the path, or on segments that must agree, never on all pairs."""
+    c = calls.select("call_id", "project", _verb(F.col("method")).alias("verb"), "path")
+    s = serves.groupBy(F.col("project").alias("server"), _verb(F.col("method")).alias("served"), F.col("path").alias("route")).agg(F.min(F.struct("endpoint"))["endpoint"].alias("endpoint"))
+    kinds = c.select("project", "verb", "path").distinct()
+    paths, routes = kinds.select("path").distinct(), s.select("route").distinct()
+    exact = paths.join(routes, F.col("path") == F.col("route")).withColumn("exact", F.lit(True))
+    holes = routes.where(F.exists(F.split("route", "/"), lambda x: _hole(x) | (x == "**"))).withColumn("key", _keys(F.col("route"), True))
+    keyed = paths.withColumn("key", F.explode(_keys(F.col("path"), False)))
     fits = keyed.join(holes, "key").where((F.col("path") != F.col("route")) & route_matches(F.col("route"), F.col("path"))).drop("key").withColumn("exact", F.lit(False))
-    both = exact.unionByName(fits).where(F.col("project") != F.col("server")).withColumn("rank", method_rank(F.col("served"), F.col("method"))).where("rank is not null")
+    both = kinds.join(exact.unionByName(fits), "path").join(s, "route").where(F.col("project") != F.col("server"))
+    both = both.withColumn("rank", method_rank(F.col("served"), F.col("verb"))).where("rank is not null")
     best = F.min_by(F.struct("endpoint", "route", "rank", "exact"), F.struct(~F.col("exact"), -F.col("rank"), F.col("route"), F.col("endpoint")))
-    return both.groupBy("call_id", "server").agg(best.alias("b")).select("call_id", "server", "b.*")
+    answers = both.groupBy("project", "verb", "path", "server").agg(best.alias("b")).select("project", "verb", "path", "server", "b.*")
+    return c.join(answers, ["project", "verb", "path"]).select("call_id", "server", "endpoint", "route", "rank", "exact")
 
 
 def servers_of(calls: DataFrame, serves: DataFrame, services: DataFrame) -> DataFrame:
@@ -80,14 +94,14 @@ def crossed(reach: DataFrame, calls: DataFrame, servers: DataFrame, crossings: i
     if not 0 <= crossings <= 8:
         raise ValueError("crossings must be 0 to 8")
     hop = calls.select("endpoint", "call_id", F.col("rank").alias("call_rank")).join(servers.select("call_id", F.col("endpoint").alias("next"), F.col("rank").alias("server_rank")), "call_id")
-    hop = hop.groupBy("endpoint", "next").agg(F.max(F.least("call_rank", "server_rank")).alias("hop_rank"))
+    hop = cut(hop.groupBy("endpoint", "next").agg(F.max(F.least("call_rank", "server_rank")).alias("hop_rank")))
     inside = reach.select(F.col("source").alias("next"), F.col("endpoint").alias("inner"), F.col("rank").alias("inner_rank"))
-    front, found = reach.select("source", "endpoint", "rank"), None
-    best = lambda df: df.groupBy("source", "endpoint").agg(F.max(F.struct("rank", (-F.col("crossings")).alias("c"))).alias("b")).select("source", "endpoint", "b.rank", (-F.col("b.c")).alias("crossings"))
+    front, steps = reach.select("source", "endpoint", "rank"), []
     for k in range(1, crossings + 1):
         step = front.join(hop, "endpoint").join(inside, "next").where(F.col("inner") != F.col("source"))
-        step = step.groupBy("source", F.col("inner").alias("endpoint")).agg(F.max(F.least("rank", "hop_rank", "inner_rank")).cast("int").alias("rank"))
-        rows = step.withColumn("crossings", F.lit(k))
-        found = rows if found is None else best(found.unionByName(rows))
-        front = step
-    return found if found is not None else reach.where("false").select("source", "endpoint", F.col("rank").cast("int").alias("rank"), F.lit(0).alias("crossings"))
+        front = cut(step.groupBy("source", F.col("inner").alias("endpoint")).agg(F.max(F.least("rank", "hop_rank", "inner_rank")).cast("int").alias("rank")))
+        steps.append(front.withColumn("crossings", F.lit(k)))
+    if not steps:
+        return reach.where("false").select("source", "endpoint", F.col("rank").cast("int").alias("rank"), F.lit(0).alias("crossings"))
+    best = F.max(F.struct("rank", (-F.col("crossings")).alias("c")))
+    return union_all(steps).groupBy("source", "endpoint").agg(best.alias("b")).select("source", "endpoint", "b.rank", (-F.col("b.c")).alias("crossings"))
