@@ -34,18 +34,34 @@ def routes_index(endpoints: DataFrame, handles: DataFrame, calls: DataFrame) ->
     return served.unionByName(called)
 
 
+#: Calls of one kind up to which its pairs with routes are put together by one task.
+KIND = 10_000
+
+
 def best_server(calls: DataFrame, serves: DataFrame) -> DataFrame:
     """For each call (call_id, project, method, path) the server in another
     project: same path; the same verb is a sound set, any other heuristic; where
     several projects answer equally well all are kept as heuristic.
 
-    Equi-joined on the normal path, so no pair of unlike paths is formed."""
+    The best grade and the number of answers are found for kinds of calls (project,
+    verb, path) against kinds of routes. Calls and routes then meet in one join, and
+    the pairs, which are the answer, aren't shuffled; those of a kind with many calls
+    are put together by several tasks."""
+    kind, of = ["path", "project", "method"], ["path", "server", "server_method"]
     s = serves.select(F.col("project").alias("server"), F.col("method").alias("server_method"), "path", "endpoint")
-    j = calls.join(s, "path").where(F.col("project") != F.col("server"))
+    k, r = calls.groupBy(*kind).agg(F.count("*").alias("calls")), s.groupBy(*of).agg(F.count("*").alias("routes"))
+    j = k.join(r, "path").where(F.col("project") != F.col("server"))
     j = j.withColumn("rank", F.when(F.col("method") == F.col("server_method"), 3).when(F.col("server_method") == "ANY", 2).otherwise(0)).where("rank > 0")
-    w = Window.partitionBy("call_id").orderBy(F.desc("rank"))
-    best = j.withColumn("place", F.rank().over(w)).where("place = 1").withColumn("answers", F.count("*").over(Window.partitionBy("call_id")))
-    return best.select("call_id", "server", "endpoint", F.when(F.col("answers") > 1, 2).otherwise(F.col("rank")).cast("int").alias("rank"), "answers")
+    w = Window.partitionBy(*kind)  # no more rows than projects times verbs
+    best = j.withColumn("top", F.max("rank").over(w)).where("rank = top").withColumn("answers", F.sum("routes").over(w))
+    parts = best.withColumn("parts", F.ceil(F.max("calls").over(Window.partitionBy(*of)) / KIND).cast("int"))
+    parts = parts.select(*kind, "server", F.col("server_method"), "answers", "rank", "parts")
+    named = parts.withColumn("verb", F.coalesce("method", F.lit(""))).withColumn("nil", F.col("method").isNull()).drop("method")
+    c = calls.select("call_id", "path", "project", F.coalesce("method", F.lit("")).alias("verb"), F.col("method").isNull().alias("nil"))
+    c = c.join(named, ["path", "project", "verb", "nil"]).withColumn("part", F.pmod(F.xxhash64("call_id"), F.col("parts")).cast("int"))
+    spread = s.join(parts.select(*of, "parts").distinct(), of).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = c.drop("parts").join(spread.drop("parts"), [*of, "part"])
+    return pairs.select("call_id", "server", "endpoint", F.when(F.col("answers") > 1, 2).otherwise(F.col("rank")).cast("int").alias("rank"), "answers")
 
 
 def wilson_lower(hits: Column, n: Column, z: float = 1.96) -> Column:

@@ -47,3 +47,14 @@ def test_crossings_start_from_what_the_last_one_reached(spark):
     got = federate.crossed(reach, calls, servers, 3)
     assert {tuple(r) for r in got.collect()} == {("e1", "e2", 3, 1), ("e1", "e3", 3, 1), ("e1", "e4", 2, 2), ("e2", "e4", 2, 1), ("e3", "e4", 2, 1)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # every crossing was written, none is done again
+
+
+def test_equally_good_servers_are_not_shuffled_as_pairs(spark, monkeypatch):
+    monkeypatch.setattr(compare, "KIND", 100, raising=False)
+    calls, serves = calls_and_routes(spark, 600)
+    calls = calls.withColumn("method", calls["method"].substr(1, 3)).unionByName(spark.sql("select 9999L call_id, 'a' project, cast(null as string) method, '/x/y' path, cast(null as string) service"))
+    serves = serves.fillna("ANY", ["method"])
+    most, rows = counted(compare.best_server(calls, serves), "shuffleRecordsWritten")
+    assert most <= 20_000
+    any_routes = sum(1 for i in range(600) if i % 4 and i % 5)
+    assert len(rows) == 601 * any_routes and all(r["rank"] == 2 and r["answers"] == any_routes for r in rows)
