@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import duckdb
+import pandas as pd
+
+from plumbline import catalog, tools  # noqa: F401
 from plumbline.operators import compare, federate
 
 
@@ -58,3 +62,16 @@ def test_equally_good_servers_are_not_shuffled_as_pairs(spark, monkeypatch):
     assert most <= 20_000
     any_routes = sum(1 for i in range(600) if i % 4 and i % 5)
     assert len(rows) == 601 * any_routes and all(r["rank"] == 2 and r["answers"] == any_routes for r in rows)
+
+
+def test_trace_added_equals_its_sql_beyond_a_million_orders(spark, tmp_path):
+    keys = [*range(999_980, 1_000_060), *range(2_000_000, 2_000_040), *range(40)]
+    o = pd.DataFrame({"o_orderkey": keys, "o_custkey": [k % 3 for k in keys], "o_orderstatus": "F", "o_totalprice": 1.0, "o_orderdate": pd.Timestamp("2020-01-01"), "o_orderpriority": "5-LOW"})
+    spark.createDataFrame(o).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view orders as from read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    for t, cols in {"lineitem": "0 l_orderkey, 0 l_linenumber, 0 l_suppkey, 0 l_partkey, 'N' l_returnflag, 0.0 l_discount", "customer": "0 c_custkey, '' c_mktsegment"}.items():
+        c.sql(f"create table {t} as select {cols} limit 0")
+    want = {tuple(r) for r in c.sql(catalog.ORACLE["trace_added"]).fetchall()}
+    got = {tuple(r) for r in catalog.QUERIES["trace_added"](spark, str(tmp_path)).collect()}
+    assert got == want and any(int(r[1].split(":")[1]) < 2_000_000 for r in want)
