@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pandas as pd
 
 from plumbline import catalog, tools  # noqa: F401
-from plumbline.operators import compare, federate
+from plumbline.operators import compare, emit, federate, reports, walk
 
 
 def counted(df, metric, kinds=""):
@@ -75,3 +77,35 @@ def test_trace_added_equals_its_sql_beyond_a_million_orders(spark, tmp_path):
     want = {tuple(r) for r in c.sql(catalog.ORACLE["trace_added"]).fetchall()}
     got = {tuple(r) for r in catalog.QUERIES["trace_added"](spark, str(tmp_path)).collect()}
     assert got == want and any(int(r[1].split(":")[1]) < 2_000_000 for r in want)
+
+
+def test_a_graph_too_large_for_arrays_is_not_sent_to_the_driver(spark, monkeypatch):
+    edges = spark.createDataFrame([(f"n{i}", f"n{(i * 7 + j) % 40}", 4 - j) for i in range(40) for j in range(2)], "src string, dst string, rank int")
+    starts = spark.createDataFrame([("n1", "n1"), ("n2", "n2")], "source string, node string")
+    want = {tuple(r) for r in walk.multi_walk(edges, starts, "strict", types=None).collect()}
+    monkeypatch.setattr(type(edges), "toArrow", lambda self: 1 / 0)
+    assert {tuple(r) for r in walk.multi_walk(edges, starts, "strict", types=None, small=10).collect()} == want
+
+
+def test_labels_in_arrays_equal_joined_ones(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(f"t{3 * rng.randrange(10) + i % 3}", f"t{3 * rng.randrange(10) + i % 3}") for i in range(60)], "src string, dst string")
+    arrays, joined = ({tuple(r) for r in walk.communities(edges, small=k).collect()} for k in (walk.SMALL, 0))
+    assert arrays == joined and len({label for _, label in joined}) > 1
+
+
+def test_a_subtype_of_two_parents_answers_as_the_nearer_one(spark):
+    methods = spark.createDataFrame([("A", "m"), ("B", "m"), ("C", "k")], "owner string, name string")
+    extends = spark.createDataFrame([("D", "B"), ("D", "X"), ("B", "A"), ("X", "C")], "child string, parent string")
+    calls = spark.createDataFrame([("x", "X", "m"), ("a", "A", "m"), ("d", "D", "k"), ("d", "D", "m")], "caller string, owner string, name string")
+    got = emit.dispatched(calls, methods, extends)
+    assert {tuple(r) for r in got.collect()} == {("x", "B", "m", "dispatch"), ("a", "A", "m", "receiver"), ("a", "B", "m", "dispatch"), ("d", "C", "k", "inherited"), ("d", "B", "m", "inherited")}
+
+
+def test_a_statement_of_several_tables_and_accesses_counts_once(spark):
+    flow = spark.createDataFrame([("symbol:a", "statement:1", "IMPLEMENTS_STMT", 4)], "src string, dst string, type string, rank int")
+    uses = spark.createDataFrame([("statement:1", t, "EXECUTES", r, a) for t, r, a in (("t1", 3, "read"), ("t1", 4, "write"), ("t2", 4, "read"), ("t3", 2, "read"))], "src string, dst string, type string, rank int, access string")
+    got = reports.transactions(flow, spark.createDataFrame([("symbol:a",)], "symbol string"), uses, "conservative")
+    assert [tuple(r) for r in got.collect()] == [("symbol:a", 1, 2, 2, 1)]
+    at = spark.createDataFrame([("e", "statement:1", 4, 2)], "endpoint string, stmt string, rank int, hops int")
+    assert {tuple(r) for r in reports.touches(at, uses, "conservative").collect()} == {("e", "t1", "read+write", 1, 4), ("e", "t2", "read", 1, 4)}
