@@ -64,6 +64,7 @@ def pack_counts(edges: DataFrame, endpoints: DataFrame, reached: DataFrame, gene
     row = lambda kind, df: df.agg(F.count("*").alias("count")).select(F.lit(kind).alias("kind"), "count")
     e = edges.select("src", "dst", "type", "rank")
     handles = e.where("type = 'HANDLES'")
+    reached = cut(reached.select("endpoint", "stmt"))
     st = cut(reached.select("stmt").distinct())
     served = handles.select(F.col("src").alias("endpoint")).distinct()
     outbound = e.where("type = 'CALLS_HTTP'").select(F.col("dst").alias("endpoint")).distinct().join(served, "endpoint", "left_anti")
